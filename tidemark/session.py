@@ -60,6 +60,11 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return out
 
 
+def held(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column, computed once a row: unlike withColumn it isn't copied into each later use or filter."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def number(c: Column) -> Column:
     """NaN counts as missing, -0.0 equals 0.0."""
     return F.when(~F.isnan(c), c + F.lit(0.0))
