@@ -1,8 +1,8 @@
 """Every query of the core and its SQL."""
 
-from tidemark.operators import bitemporal, history, rolling
+from tidemark.operators import bitemporal, history, outliers, rolling
 from tidemark.sources import stamps
 
-_MODULES = (bitemporal, rolling, stamps, history)
+_MODULES = (bitemporal, outliers, rolling, stamps, history)
 CORE = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 CORE_SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
