@@ -1,7 +1,7 @@
 """Every query of this subpackage and its SQL."""
 
-from tidemark.llm import topn
+from tidemark.llm import packing, tokens, topn
 
-_MODULES = (topn,)
+_MODULES = (topn, tokens, packing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
