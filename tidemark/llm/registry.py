@@ -1,7 +1,7 @@
 """Every query of this subpackage and its SQL."""
 
-from tidemark.llm import packing, stuffing, tokens, topn
+from tidemark.llm import matching, packing, stuffing, tokens, topn
 
-_MODULES = (topn, tokens, packing, stuffing)
+_MODULES = (topn, matching, tokens, packing, stuffing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
