@@ -22,7 +22,7 @@ def asof(
     """
     names = [c for c in left.columns if c not in (*values, provenance)]
     pair = F.struct(F.col(right_time).alias("t"), *[F.col(v) for v in values])
-    side = 0 if inclusive == forward else 1  # where right rows stand among left rows of the same instant
+    side = 1 if inclusive == forward else 0  # where right rows stand among left rows of the same instant
     r = right.where(F.col(right_time).isNotNull()).select(*keys, F.unix_micros(right_time).alias("__t"), F.lit(side).alias("__side"), F.col(seq).cast("long").alias("__seq"), pair.alias("__hit"))
     kind = r.schema["__hit"].dataType
     l = left.select(*keys, F.unix_micros(left_time).alias("__t"), F.lit(1 - side).alias("__side"), F.lit(None).cast("long").alias("__seq"), F.lit(None).cast(kind).alias("__hit"), F.struct(*names).alias("__left"))  # noqa: E741
