@@ -26,7 +26,7 @@ def _lists(spark, d):
 
 def melt_long(spark, d):
     u = table(spark, d, "universe_lists").select("list_id", "cik", "close_px", "shares", "mcap")
-    return rounded(S.melt(u, ["cik"], ["close_px", "shares", "mcap"], "list_id").where("not isnan(value) or value is null"), 2)
+    return S.melt(u, ["cik"], ["close_px", "shares", "mcap"], "list_id").where("not isnan(value) or value is null")
 
 
 def widen_first(spark, d):
@@ -231,7 +231,7 @@ _F = """o AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate
 _PLAIN = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(upper({c}), '/[A-Z]{{2}}/?\\s*$', ' '), '&', ' AND '), '[^A-Z0-9 ]', ' ', 'g'), '\\b(INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|PLC|LP|LLC|TRUST)\\b', ' ', 'g'), ' +', ' ', 'g'))"
 _K = "(3 - 2 * sqrt(2.0))"
 SQL = {
-    "melt_long": f"WITH m AS (SELECT cik, list_id, unnest(['close_px', 'shares', 'mcap']) AS feature, unnest([close_px, shares, mcap]) AS v FROM universe_lists) SELECT cik, list_id, feature, {r('v', 2)} AS value FROM m WHERE v IS NULL OR NOT isnan(v)",
+    "melt_long": f"WITH m AS (SELECT cik, list_id, unnest(['close_px', 'shares', 'mcap']) AS feature, unnest([close_px, shares, mcap]) AS v FROM universe_lists) SELECT cik, list_id, feature, v AS value FROM m WHERE v IS NULL OR NOT isnan(v)",
     "widen_first": "SELECT entity_id, CAST(period_end AS VARCHAR) AS period_end, " + ", ".join(f"{r(f'arg_min(CASE WHEN feature = {chr(39)}{f}{chr(39)} THEN obs_value END, CASE WHEN feature = {chr(39)}{f}{chr(39)} THEN seq END)')} AS {f}" for f in ("size_log", "rev_growth")) + " FROM observations WHERE entity_id IS NOT NULL AND NOT isnan(obs_value) GROUP BY 1, 2",
     "widen_mean": "SELECT user_id, " + ", ".join(f"{r(f'avg(CASE WHEN event_type = {chr(39)}{f}{chr(39)} THEN value END)', 6)} AS {f}" for f in ("click", "view", "purchase")) + " FROM events GROUP BY 1",
     "feature_transforms": f"WITH {_U}, t AS (SELECT cik, list_date, mcap / 1e9 AS mcap FROM u WHERE mcap IS NOT NULL) SELECT cik, CAST(list_date AS VARCHAR) AS list_date, {r('sign(mcap) * ln(1 + abs(mcap))', 6)} AS log, {r('mcap - lag(mcap) OVER w', 6)} AS chg1, {r('(mcap - lag(mcap) OVER w) / nullif(abs(lag(mcap) OVER w), 0)', 6)} AS pct1, {r('(mcap - lag(mcap, 3) OVER w) / nullif(abs(lag(mcap, 3) OVER w), 0)', 6)} AS pct3 FROM t WINDOW w AS (PARTITION BY cik ORDER BY list_date)",
