@@ -48,7 +48,7 @@ def split_words(text: str):
 
 
 def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """word, ids of each distinct word, encoded once."""
+    """word, ids of each distinct word, encoded once; the first column of words is the word."""
     blob = _read(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, counts_only: bo
     and text play no part. Whole texts are encoded, whatever their length.
 
     Plan: texts are shuffled once into blocks of about BLOCK_BYTES. A block's words are split in the JVM and made
-    distinct in place; the distinct words of all blocks are encoded once each; their ids go back to the blocks (a word
+    distinct in place and go out by word, once for both uses: the distinct words of all blocks are encoded once each; their ids go back to the blocks (a word
     is joined once a block, not once an occurrence, so frequent words are no hot key) and are put into the places of
     the words by position, vectorised over a block.
     """
@@ -103,9 +103,12 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, counts_only: bo
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition("block")
     split = d.select("block", "doc_id", split_words("text").alias("words"))
-    seen = split.select("block", F.explode("words").alias("word")).groupBy("block", "word").agg(F.lit(1).alias("one")).select("block", "word")
-    coded = encode_words(seen.select("word").distinct(), vocabulary)
-    per_block = seen.join(coded, "word").select(F.col("block").alias("of_block"), "word", "ids")
+    # explode_outer: for explode, a filter on the split text would be inferred and the text split before the shuffle too.
+    # some, block: every use of the two shuffles reads the same columns, so each is made once.
+    seen = split.select("block", "doc_id", F.explode_outer("words").alias("word")).where(F.col("word").isNotNull())
+    seen = seen.groupBy("block", "word").agg(F.min("doc_id").alias("some")).repartition("word")
+    coded = encode_words(seen.groupBy("word").agg(F.min("block").alias("block"), F.min("some").alias("some")), vocabulary)
+    per_block = seen.join(coded, "word").select(F.col("block").alias("of_block"), "word", "ids", "some")
     schema = "doc_id long, n_tokens long" if counts_only else "doc_id long, ids array<int>"
     return split.groupBy("block").cogroup(per_block.groupBy("of_block")).applyInArrow(_join_back(counts_only), schema)
 
