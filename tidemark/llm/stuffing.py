@@ -17,7 +17,9 @@ BLOCK = 2048
 #: A page is redundant if its blocks compress to at most this ratio, and to at most this share of what is usual for
 #: pages of its language and length: the upper quartile, which pages of sentences hold even where many are stuffed.
 MOST_RATIO, OF_USUAL = 0.45, 1.0
-#: Sentences per character, as a share of what is usual for the language, up to which punctuation counts as sparse.
+#: A ratio that is redundant in any language and at any length, even where all others of its kind are stuffed.
+ALWAYS = 0.25
+#: Sentences per character, as a share of the sentence marks usual for the language, up to which punctuation counts as sparse.
 SPARSE = 0.75
 #: Least share of a page's characters in links, tags and keyword runs. TESTDATA asks two thirds; the rest is what
 #: breaks and marks between them may take.
@@ -41,6 +43,7 @@ _LINK_SIGNS = ("://", "[.]", "](", "<a ", ".com", ".net", ".org", ".io", ".biz",
 _TAG = re.compile(r"[#＃]\w[\w-]*|\$[A-Za-z][A-Za-z0-9]{1,7}\b|\b[A-Za-z]{3,4}[:-](?=[A-Za-z]*\d)[A-Za-z0-9]{5,8}\b")
 _MARK = "\x01"
 _END = re.compile(r"(?<=[.!?؟।])(?!\w)|(?<=[。！？])|\n|(?<=>)(?=<)")
+_STOP = re.compile(r"[.!?؟।](?!\w)|[。！？]")
 _WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*|\d+(?:[.,]\d+)*")
 _CJK = re.compile(r"[぀-ヿ一-鿿]{5,}")
 _FOREIGN = re.compile(r"[Ͱ-῿぀-鿿]")
@@ -101,7 +104,8 @@ def language_class(text: str, lang: str | None) -> str:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, kind (language class), size (length class), ratio, stuffed, sentences of every row with a text.
+    """doc_id, kind (language class), size (length class), ratio, marks (sentence marks per thousand characters),
+    stuffed, sentences of every row with a text.
 
     stuffed and sentences are null for pages that aren't redundant whatever is usual (ratio above MOST_RATIO)."""
 
@@ -112,18 +116,18 @@ def measures(docs: DataFrame) -> DataFrame:
                 f = folded(t)
                 r = block_ratio(f, t)
                 st, se = shares(f, t) if r <= MOST_RATIO else (None, None)
-                out.append((i, language_class(t, lang), min(len(t).bit_length(), WHOLE), r, st, se))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "size", "ratio", "stuffed", "sentences"])
+                out.append((i, language_class(t, lang), min(len(t).bit_length(), WHOLE), r, 1000 * len(_STOP.findall(t)) / len(t), st, se))
+            yield pd.DataFrame(out, columns=["doc_id", "kind", "size", "ratio", "marks", "stuffed", "sentences"])
 
     some = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return some.mapInPandas(run, "doc_id long, kind string, size int, ratio double, stuffed double, sentences double")
+    return some.mapInPandas(run, "doc_id long, kind string, size int, ratio double, marks double, stuffed double, sentences double")
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
     """doc_id, ratio, sentences, stuffed of pages of repeated keywords, link lists or tags; repeats each for itself.
 
     Flagged by extreme redundancy (block-wise compression ratio, normalised by the corpus's upper quartiles of its
-    language and length), confirmed by sparse sentence punctuation (against the language's median) and by the share of stuffed
+    language and length), confirmed by sparse sentence punctuation (against the median of the language's pages) and by the share of stuffed
     text. Null, empty and blank texts are none; lang may be null or wrong. doc_id is a bigint. A language or length
     of which there are no other pages is normalised by what there is, at worst by itself.
 
@@ -132,10 +136,10 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     """
     m = cut_lineage(measures(docs))
     usual = m.groupBy("kind", "size").agg(F.percentile_approx("ratio", 0.75, 1000).alias("usual_ratio"))
-    rhythm = m.where(F.col("sentences") > 0).groupBy("kind").agg(F.percentile_approx("sentences", 0.5, 1000).alias("usual_sentences"))
-    got = m.where(F.col("stuffed") >= STUFFED).join(F.broadcast(usual), ["kind", "size"]).join(F.broadcast(rhythm), "kind", "left")
-    redundant = F.col("ratio") <= F.lit(OF_USUAL) * F.col("usual_ratio")
-    sparse = F.col("sentences") <= F.lit(SPARSE) * F.coalesce("usual_sentences", F.lit(0.0))
+    rhythm = m.groupBy("kind").agg(F.percentile_approx("marks", 0.5, 1000).alias("usual_marks"))
+    got = m.where(F.col("stuffed") >= STUFFED).join(F.broadcast(usual), ["kind", "size"]).join(F.broadcast(rhythm), "kind")
+    redundant = F.col("ratio") <= F.greatest(F.lit(OF_USUAL) * F.col("usual_ratio"), F.lit(ALWAYS))
+    sparse = F.col("sentences") <= F.lit(SPARSE) * F.col("usual_marks")
     return got.where(redundant & sparse).select("doc_id", "ratio", "sentences", "stuffed")
 
 
