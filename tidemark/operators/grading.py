@@ -156,3 +156,21 @@ def grade_picks(df: DataFrame, picked: str, ret: str, period: str) -> DataFrame:
     per = df.groupBy(period).agg((F.avg(F.when(F.col(picked), F.col(ret))) - F.avg(ret)).alias("edge"))
     n, m, s = F.count("edge"), F.avg("edge"), F.stddev_samp("edge")
     return per.agg(n.alias("periods"), m.alias("edge"), F.when((n >= 3) & (s > 0), m / (F.nullif(s, F.lit(0.0)) / F.sqrt(n))).alias("t"))
+
+
+def spotcheck(docs: DataFrame, id_: str, flagged: Column, plain: int = 20, marked: int = 10, seed: int = 0) -> DataFrame:
+    """A fixed sample of documents to check by hand: so many plain ones and so many flagged."""
+    d = docs.withColumn("flagged", F.coalesce(flagged, F.lit(False))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_)))
+    pick = lambda f, n: d.where(F.col("flagged") == f).orderBy("__h", id_).limit(n)
+    return pick(False, plain).unionByName(pick(True, marked)).drop("__h")
+
+
+def with_overrides(labels: DataFrame, fixes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """labels with the checked values in place of theirs."""
+    f = fixes.select(*keys, F.col(value).alias("__fix")).dropDuplicates(list(keys))
+    return labels.join(f, list(keys), "left").withColumn(value, F.coalesce("__fix", value)).drop("__fix")
+
+
+def reading_quality(stable_share: Column, found_share: Column, spread: Column) -> Column:
+    """poor if unstable, seldom answered or hardly varying, else fine. (K5)"""
+    return F.when((found_share < 0.3) | (stable_share < 0.8) | (spread < 0.15), "poor").otherwise("fine")
