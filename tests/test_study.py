@@ -13,14 +13,14 @@ from tidemark.operators import grading, labels, prices, ridge, scoring
 from tidemark.plans import decide, loop
 from tidemark.plans import governance as V
 from tidemark.plans.study import Candidate, CohortTest, SourceSpec, Study, build_panel
+from tidemark.session import cut_lineage
 from tidemark.sources import files
 from tidemark.sources.synthetic import SyntheticMarket
 
 
 @pytest.fixture(scope="module")
 def panel(spark):
-    p = demo_panel(spark, 60, 3).where("fwd_return is not null").cache()
-    p.count()
+    p = cut_lineage(demo_panel(spark, 60, 3).where("fwd_return is not null"))
     return p
 
 

@@ -10,7 +10,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import local_session
+from tidemark.session import cut_lineage, local_session
 
 
 def demo_panel(spark: SparkSession, entities: int = 60, years: int = 3, seed: int = 7):
@@ -23,14 +23,14 @@ def demo_panel(spark: SparkSession, entities: int = 60, years: int = 3, seed: in
     from tidemark.sources.synthetic import SyntheticMarket
 
     m = SyntheticMarket(entities=entities, end=date(2009 + years, 12, 31), seed=seed)
-    bars = m.bars(spark)
+    bars = cut_lineage(m.bars(spark))
     when = m.days(spark).groupBy("month").agg(F.timestamp_micros(F.unix_micros(F.max("close_at")) + F.lit(1_800_000_000)).alias("decision_time")).select("decision_time")
-    uni = m.names(spark).crossJoin(F.broadcast(when))  # the grid itself is the data
-    labels = forward_returns(uni.select("entity_id", "decision_time"), "decision_time", bars, "entity_id", "close_at", "price", 20)
+    uni = cut_lineage(m.names(spark).crossJoin(F.broadcast(when)))  # the grid itself is the data
+    labels = cut_lineage(forward_returns(uni.select("entity_id", "decision_time"), "decision_time", bars, "entity_id", "close_at", "price", 20))
     q = Question("outlook", "scale", "How is the outlook?", (), {"0": "lowered", "2": "kept|maintained|unchanged", "4": "raised"})
     docs = m.documents(spark)
-    read = docs.select("entity_id", "available_at", F.lit("reader").alias("source"), F.lit("outlook").alias("feature"), keyword_answer(F.col("text"), q)["value"].alias("value"), F.xxhash64("doc_id").alias("seq"))
-    p = build_panel(uni, [SourceSpec(m.observations(spark)), SourceSpec(read)], labels)
+    read = cut_lineage(docs.select("entity_id", "available_at", F.lit("reader").alias("source"), F.lit("outlook").alias("feature"), keyword_answer(F.col("text"), q)["value"].alias("value"), F.xxhash64("doc_id").alias("seq")))
+    p = build_panel(uni, [SourceSpec(cut_lineage(m.observations(spark))), SourceSpec(read)], labels)
     return p.withColumn("rt_cost", F.lit(0.002))
 
 

@@ -246,7 +246,7 @@ SQL = {
         SELECT gram, {r('inside', 7)} AS inside, {r('outside', 7)} AS outside, {r('coalesce(inside, 0) - coalesce(outside, 0)', 7)} AS lift FROM c WHERE coalesce(inside, 0) - coalesce(outside, 0) > 0.02""",
     "unread_documents": f"WITH k AS (SELECT doc_id, doc_type, sha256('keyword-1' || chr(0) || 'charge@1' || chr(0) || '{CHARGE.wording}' || chr(0) || coalesce(text, '') || chr(0)) AS key FROM documents) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_type = 'release')",
     "asof_reading": f"WITH {_S}, a AS (SELECT entity_id, epoch_us(available_at) AS t, arg_max({_LV}, doc_id) AS lv FROM q WHERE text IS NOT NULL AND available_at IS NOT NULL GROUP BY 1, 2), p AS (SELECT panel_id, entity_id, epoch_us(decision_time) AS t FROM panel), j AS (SELECT p.panel_id, a.lv, p.t - a.t AS age FROM p ASOF LEFT JOIN a ON p.entity_id = a.entity_id AND p.t > a.t) SELECT panel_id, CASE WHEN age <= {365 * 86_400_000_000} THEN {r('lv', 6)} END AS level FROM j",
-    "brier_skill": f"WITH {_GR} SELECT block, count(*) AS n, {r('CASE WHEN avg(y) - avg(y) * avg(y) > 1e-12 THEN 1 - avg((p - y) * (p - y)) / (avg(y) - avg(y) * avg(y)) WHEN avg((p - y) * (p - y)) <= 1e-12 THEN 1.0 ELSE 0.0 END')} AS skill FROM g GROUP BY 1",
+    "brier_skill": f"WITH {_GR} SELECT CAST(block AS BIGINT) AS block, count(*) AS n, {r('CASE WHEN avg(y) - avg(y) * avg(y) > 1e-12 THEN 1 - avg((p - y) * (p - y)) / (avg(y) - avg(y) * avg(y)) WHEN avg((p - y) * (p - y)) <= 1e-12 THEN 1.0 ELSE 0.0 END')} AS skill FROM g GROUP BY 1",
     "choice_skill": f"WITH {_GR} SELECT count(*) AS n, {r('greatest(1 - avg(2 * (p - y) * (p - y)) / nullif(1 - avg(y) * avg(y) - (1 - avg(y)) * (1 - avg(y)), 0), 0)')} AS skill FROM g",
     "tolerance_skill": f"WITH {_GR}, t AS (SELECT floor(p * 4.999) AS lvl, floor({sql_pct('fwd_return', D)} * 4.999) AS z FROM g), m AS (SELECT z FROM t GROUP BY z ORDER BY count(*) DESC, z LIMIT 1), h AS (SELECT count(*) AS n, avg(CASE WHEN abs(lvl - z) <= 1 THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN abs((SELECT z FROM m) - z) <= 1 THEN 1.0 ELSE 0.0 END) AS base FROM t) SELECT n, {r('greatest(0, CASE WHEN base < 1 THEN (hit - base) / (1 - base) WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS skill FROM h",
     "auc_rank": f"WITH {_GR}, t AS (SELECT up, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM g), c AS (SELECT count(*) FILTER (up) AS p, count(*) FILTER (NOT up) AS q, sum(k) FILTER (up) AS s FROM t) SELECT p AS pos, q AS neg, {r('(s - p * (p + 1) / 2) / nullif(p * q, 0)')} AS auc FROM c",
