@@ -22,7 +22,7 @@ def _grid(s):
 
 
 def _book(signal):
-    return lambda s: S.portfolio(_grid(s), signal, D, "entity_id").drop("k")
+    return lambda s: S.portfolio(_grid(s), signal(), D, "entity_id").drop("k")  # columns need a session, so not at import
 
 
 def _bottom(s):
@@ -66,9 +66,9 @@ QUERIES = {
     "label_overlap": _q(_overlaps),
     "quantile_spread": _q(lambda s: S.quantile_spreads(s, 0.2, 2)),
     "rank_weighted_book": _q(lambda s: S.rank_weighted(s)),
-    "band_portfolio": _q(_book(S.band_signal(0.9, 0.7))),
-    "topk_portfolio": _q(_book(S.top_signal(0.9))),
-    "periodic_portfolio": _q(_book(S.periodic_signal(0.9, MONTHS, D))),
+    "band_portfolio": _q(_book(lambda: S.band_signal(0.9, 0.7))),
+    "topk_portfolio": _q(_book(lambda: S.top_signal(0.9))),
+    "periodic_portfolio": _q(_book(lambda: S.periodic_signal(0.9, MONTHS, D))),
     "book_summary": _q(lambda s: S.book_summary(S.portfolio(_grid(s), S.band_signal(0.9, 0.7), D, "entity_id"))),
 }
 
