@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -93,6 +93,14 @@ def universe_active(spark, d):
     return rounded(L.universe(L.schedule_table(spark, times), _bars(spark, d), "entity_id", "close_at", 40))
 
 
+def universe_active_full(spark, d):
+    """universe_active over the whole history: the schedule runs from the first bar to the last."""
+    b = _bars(spark, d)
+    first, last = b.agg(F.min("list_date"), F.max("list_date")).first()
+    times = L.schedule(first, last + timedelta(1), "trading", "monthly", "America/New_York", "16:00", 30) if first else []
+    return rounded(L.universe(L.schedule_table(spark, times), b, "entity_id", "close_at", 40))
+
+
 def leak_check_counts(spark, d):
     p = _attached(spark, d)
     cells = [f"at_{f}" for f in FEATURES]
@@ -169,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_latest_value, asof_staleness, asof_single, asof_inclusive, asof_document, asof_forward, next_bar_entry, forward_return, daily_return_last_bar, universe_active,
-        leak_check_counts, nearest_earlier, rolling_event_window, event_change_points, change_vs_prior_k, rolling_median_5, price_features, shrunk_mean, surprise_shrunk_mean,
+        universe_active_full, leak_check_counts, nearest_earlier, rolling_event_window, event_change_points, change_vs_prior_k, rolling_median_5, price_features, shrunk_mean, surprise_shrunk_mean,
         base_rates_lagged, observation_features,
     )
 }
@@ -215,6 +223,9 @@ SQL = {
         j AS (SELECT p.panel_id, w.* FROM p ASOF LEFT JOIN w ON p.entity_id = w.entity_id AND p.t < w.t) SELECT panel_id, t AS entry_time, CASE WHEN p1 IS NOT NULL THEN t1 WHEN ended THEN tl END AS label_end, {r("CASE WHEN p1 IS NOT NULL THEN p1 / px - 1 WHEN ended THEN pl / px * (1 - 0.3) - 1 END")} AS fwd_return, coalesce(p1 IS NULL AND ended, false) AS delisted FROM j WHERE i IS NULL OR i - 1 >= 2""",
     "daily_return_last_bar": f"WITH {_BE}, w AS (SELECT *, px / lag(px) OVER z - 1 AS q, lead(t) OVER z IS NULL AND ended AS l FROM be WINDOW z AS (PARTITION BY entity_id ORDER BY t)) SELECT entity_id, t AS close_at, {r('CASE WHEN l THEN (1 + q) * (1 - 0.3) - 1 ELSE q END')} AS r FROM w",
     "universe_active": f"WITH {_B}, c AS (SELECT * FROM (VALUES {_TIMES}) c(t)), e AS (SELECT DISTINCT entity_id FROM b), d AS (SELECT c.t, e.entity_id FROM c, e) SELECT d.t AS decision_time, d.entity_id, 'all' AS grp FROM d ASOF JOIN b ON d.entity_id = b.entity_id AND d.t > b.t WHERE d.t - b.t <= {40 * DAY}",
+    "universe_active_full": f"""WITH {_B}, lo AS (SELECT min(list_date) AS a, max(list_date) AS z FROM b), mo AS (SELECT last_day(unnest(generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH))) AS m FROM lo),
+        wd AS (SELECT CAST(m - CAST(greatest(isodow(m) - 5, 0) AS INTEGER) AS DATE) AS w FROM mo), c AS (SELECT epoch_us(timezone('America/New_York', CAST(w AS TIMESTAMP) + INTERVAL '16 hours 30 minutes')) AS t FROM wd, lo WHERE w BETWEEN a AND z),
+        e AS (SELECT DISTINCT entity_id FROM b), d AS (SELECT c.t, e.entity_id FROM c, e) SELECT d.t AS decision_time, d.entity_id, 'all' AS grp FROM d ASOF JOIN b ON d.entity_id = b.entity_id AND d.t > b.t WHERE d.t - b.t <= {40 * DAY}""",
     "leak_check_counts": _attach_sql(None).replace("WITH ", "WITH y AS (WITH ", 1) + "), x AS (SELECT * FROM y JOIN panel USING (panel_id)) SELECT count(*) AS rows, CAST(sum((at_size_log IS NOT NULL)::INT + (at_rev_growth IS NOT NULL)::INT + (at_guidance_tone IS NOT NULL)::INT) AS BIGINT) AS filled, CAST(sum(CASE WHEN greatest(coalesce(at_size_log, 0), coalesce(at_rev_growth, 0), coalesce(at_guidance_tone, 0)) >= epoch_us(decision_time) THEN 1 ELSE 0 END) AS BIGINT) AS leaks, CAST(sum(CASE WHEN entry_time <= decision_time THEN 1 ELSE 0 END) AS BIGINT) AS early_entries FROM x",
     "nearest_earlier": f"WITH f AS (SELECT cik, as_of, max(mcap) AS mcap FROM size_snapshots WHERE mcap IS NOT NULL GROUP BY ALL), b AS (SELECT a.cik, a.as_of, arg_min(z.mcap, abs(datediff('day', z.as_of, a.as_of) - 364) * 100000 + (z.as_of - DATE '1990-01-01')) AS mb FROM f a JOIN f z ON a.cik = z.cik AND abs(datediff('day', z.as_of, a.as_of) - 364) <= 20 GROUP BY ALL) SELECT f.cik, CAST(f.as_of AS VARCHAR) AS as_of, {r('mb')} AS mcap_before, {r('mcap / nullif(mb, 0) - 1')} AS growth FROM f LEFT JOIN b USING (cik, as_of)",
     "rolling_event_window": f"WITH p AS (SELECT user_id, 1704067200000000 + k * {DAY} AS t FROM (SELECT DISTINCT user_id FROM events), range(1, 31) z(k)) SELECT CAST(p.user_id * 1000 + (t // {DAY}) % 1000 AS BIGINT) AS point, count(e.event_id) AS n, {r('coalesce(sum(e.value), 0)', 4)} AS total, count(DISTINCT e.event_type) AS kinds FROM p LEFT JOIN events e ON e.user_id = p.user_id AND epoch_us(e.ts) < t AND epoch_us(e.ts) > t - {7 * DAY} GROUP BY p.user_id, p.t",
