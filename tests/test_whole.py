@@ -17,3 +17,13 @@ def test_universe_covers_every_month_of_the_bars(spark, tmp_path):
     last = days[-1]
     months = (last.year - first.year) * 12 + last.month - first.month
     assert got.count() in (months, months + 1)
+
+
+def test_cohorts_form_at_every_date_with_a_12th_later(spark, tmp_path):
+    days = [date(2020, 1, 1) + timedelta(k) for k in range(30)]
+    rows = [(1, t, "a", "s", 5.0 + k, 1.0, 1.0, 1.0) for k, t in enumerate(days)]
+    spark.createDataFrame(rows, "cik long, list_date date, code string, sector string, close_px double, shares double, mcap double, dollar_vol double").write.parquet(f"{tmp_path}/universe_lists.parquet")
+    got = {r.cohort for r in registry.CORE["cohort_daily_full"](spark, str(tmp_path)).select("cohort").distinct().collect()}
+    assert got == {str(t) for t in days[:-12]}
+    most = registry.CORE["overlapping_cohorts_full"](spark, str(tmp_path)).agg(F.max("cohorts")).first()[0]
+    assert most == 12
