@@ -27,3 +27,12 @@ def test_cohorts_form_at_every_date_with_a_12th_later(spark, tmp_path):
     assert got == {str(t) for t in days[:-12]}
     most = registry.CORE["overlapping_cohorts_full"](spark, str(tmp_path)).agg(F.max("cohorts")).first()[0]
     assert most == 12
+
+
+def test_observation_totals_on_every_calendar_day(spark, tmp_path):
+    stamps = ["2024-01-01 15:00:00", "2024-01-01 16:00:00", "2024-01-05 15:00:00", "2024-03-01 02:00:00"]
+    rows = [("a", t) for t in stamps] + [("a", None), (None, stamps[0])]
+    spark.createDataFrame(rows, "entity_id string, at string").select("entity_id", F.col("at").cast("timestamp").alias("available_at")).write.parquet(f"{tmp_path}/observations.parquet")
+    got = {r.obs_day: (r.n7, r.n30) for r in registry.CORE["p4_observations"](spark, str(tmp_path)).collect()}
+    first, at = date(2024, 1, 1), [0, 0, 4, 59]  # the last stamp is the evening before in New York
+    assert got == {str(first + timedelta(k)): (sum(k - 7 < x <= k for x in at), sum(k - 30 < x <= k for x in at)) for k in range(59 + 30)}

@@ -61,7 +61,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("cik", "category", F.date_format("event_day", "yyyy-MM-dd").alias("event_day"))
 
 
-QUERIES = {"p4_found": p4_found}
+def daily_observations(observations: DataFrame, tz: str = "America/New_York") -> DataFrame:
+    """entity_id, obs_day, observations: rows delivered on each local day. Rows without entity or available_at don't count."""
+    o = observations.where(F.col("entity_id").isNotNull() & F.col("available_at").isNotNull())
+    return o.groupBy("entity_id", local_date(F.col("available_at"), tz).alias("obs_day")).agg(F.count("*").alias("observations"))
+
+
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = trailing_totals(daily_filings(table(spark, sf_dir, "eight_k_events")), ["cik", "category"], "event_day", "filings", zeros=True)
+    return got.withColumn("event_day", F.date_format("event_day", "yyyy-MM-dd"))
+
+
+def p4_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = trailing_totals(daily_observations(table(spark, sf_dir, "observations")), ["entity_id"], "obs_day", "observations", zeros=True)
+    return got.withColumn("obs_day", F.date_format("obs_day", "yyyy-MM-dd"))
+
+
+_TRAILING = lambda keys, day: f"""c AS (SELECT {keys}, CAST(unnest(generate_series(min(d), max(d) + 29, INTERVAL 1 DAY)) AS DATE) AS d FROM n GROUP BY {keys}),
+        w AS (SELECT {keys}, d, coalesce(n.n, 0) AS n FROM c LEFT JOIN n USING ({keys}, d)),
+        t AS (SELECT {keys}, d, sum(n) OVER (PARTITION BY {keys} ORDER BY d ROWS 6 PRECEDING) AS n7, sum(n) OVER (PARTITION BY {keys} ORDER BY d ROWS 29 PRECEDING) AS n30 FROM w)
+        SELECT {keys}, strftime(d, '%Y-%m-%d') AS {day}, CAST(n7 AS DOUBLE) AS n7, CAST(n30 AS DOUBLE) AS n30, n7 / CAST(7 AS DOUBLE) AS avg7, n30 / CAST(30 AS DOUBLE) AS avg30 FROM t"""
+QUERIES = {"p4_found": p4_found, "p4_totals": p4_totals, "p4_observations": p4_observations}
 SQL = {
     "p4_found": """
         WITH f AS (SELECT DISTINCT CAST(regexp_extract(trim(entity), '([0-9]+)$', 1) AS BIGINT) AS cik, category, accession, CAST(timezone('America/New_York', published_at) AS DATE) AS d
@@ -70,5 +90,12 @@ SQL = {
         x AS (SELECT DISTINCT cik, category, d + CAST(k AS INTEGER) AS d FROM n, range(0, 30) r(k)),
         w AS (SELECT x.cik, x.category, x.d, sum(CASE WHEN n.d > x.d - 7 THEN n.n ELSE 0 END) AS n7, sum(n.n) AS n30
               FROM x JOIN n ON x.cik = n.cik AND x.category = n.category AND n.d <= x.d AND n.d > x.d - 30 GROUP BY ALL)
-        SELECT cik, category, strftime(d, '%Y-%m-%d') AS event_day FROM w WHERE n7 >= 3 AND 10 * n7 >= 7 * n30"""
+        SELECT cik, category, strftime(d, '%Y-%m-%d') AS event_day FROM w WHERE n7 >= 3 AND 10 * n7 >= 7 * n30""",
+    "p4_totals": f"""
+        WITH f AS (SELECT CAST(regexp_extract(trim(entity), '([0-9]+)$', 1) AS BIGINT) AS cik, category, coalesce(accession, 'event ' || event_id) AS filing, min(published_at) AS first_at
+                   FROM eight_k_events WHERE category IS NOT NULL AND published_at IS NOT NULL GROUP BY ALL),
+        n AS (SELECT cik, category, CAST(timezone('America/New_York', first_at) AS DATE) AS d, count(*) AS n FROM f GROUP BY ALL), {_TRAILING("cik, category", "event_day")}""",
+    "p4_observations": f"""
+        WITH n AS (SELECT entity_id, CAST(timezone('America/New_York', available_at) AS DATE) AS d, count(*) AS n FROM observations WHERE entity_id IS NOT NULL AND available_at IS NOT NULL GROUP BY ALL),
+        {_TRAILING("entity_id", "obs_day")}""",
 }
