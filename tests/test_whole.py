@@ -36,3 +36,8 @@ def test_observation_totals_on_every_calendar_day(spark, tmp_path):
     got = {r.obs_day: (r.n7, r.n30) for r in registry.CORE["p4_observations"](spark, str(tmp_path)).collect()}
     first, at = date(2024, 1, 1), [0, 0, 4, 59]  # the last stamp is the evening before in New York
     assert got == {str(first + timedelta(k)): (sum(k - 7 < x <= k for x in at), sum(k - 30 < x <= k for x in at)) for k in range(59 + 30)}
+
+
+def test_levels_use_the_labels_closed_after_2014_too(spark, data):
+    periods = lambda name: sum(r.periods for r in registry.CORE[name](spark, data).collect())
+    assert periods("calibration_levels_full") > periods("calibration_levels")

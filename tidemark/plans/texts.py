@@ -135,10 +135,12 @@ def reaction_power(spark, d):
     return rounded(G.spearman(w.withColumn("year", F.year(D)), "fit", "target", ["year"]))
 
 
-def _resid(spark, d):
+def _resid(spark, d, full=False):
+    """Residuals of labels closed before 2015, or with full of all closed labels."""
     p = table(spark, d, "panel").select("panel_id", "label_end")
+    cutoff = 2**62 if full else 1420070400000000
     s = scored_rows(spark, d).join(p, "panel_id")
-    s = G.residual_frame(s, "score", "fwd_return", D, "grp", "label_end", F.timestamp_micros(F.lit(1420070400000000)))
+    s = G.residual_frame(s, "score", "fwd_return", D, "grp", "label_end", F.timestamp_micros(F.lit(cutoff)))
     return s.withColumn("x1", F.coalesce(R.pct_rank("score", [D]), F.lit(0.5)) - 0.5).withColumn("x2", F.coalesce(R.pct_rank("rt_cost", [D]), F.lit(0.5)) - 0.5)
 
 
@@ -146,11 +148,19 @@ def attribution_slopes(spark, d):
     return rounded(G.attribution(_resid(spark, d), ["x1", "x2"], D, {"x1": 0.3, "x2": 0.0}))
 
 
-def calibration_levels(spark, d):
-    s = _resid(spark, d).withColumn("level", F.floor((F.col("x2") + 0.5) * 4.999).cast("double"))
+def calibration_levels(spark, d, full=False):
+    s = _resid(spark, d, full).withColumn("level", F.floor((F.col("x2") + 0.5) * 4.999).cast("double"))
     return rounded(G.calibration(s, "level", D))
 
 
+def attribution_slopes_full(spark, d):
+    return rounded(G.attribution(_resid(spark, d, True), ["x1", "x2"], D, {"x1": 0.3, "x2": 0.0}))
+
+
+def calibration_levels_full(spark, d):
+    return calibration_levels(spark, d, True)
+
+
 def rolling_ic_decay(spark, d):
     return rounded(G.decay(S.rank_ic(scored_rows(spark, d)), D, 12))
 
@@ -195,7 +205,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_yes_no, keyword_choice, keyword_scale, quote_ok, answer_change, answers_to_observations, mask_names, page_text, trigram_lift, unread_documents, asof_reading,
-        brier_skill, choice_skill, tolerance_skill, auc_rank, agreement, reading_stability, coverage, identification, reaction_power, attribution_slopes, calibration_levels,
+        brier_skill, choice_skill, tolerance_skill, auc_rank, agreement, reading_stability, coverage, identification, reaction_power, attribution_slopes, calibration_levels, attribution_slopes_full, calibration_levels_full,
         rolling_ic_decay, batches_by_id, batch_pick, grade_decisions, decision_cards, ic_table, override_split,
     )
 }
@@ -224,6 +234,7 @@ _YES = f"CASE WHEN {_n(CHARGE.patterns['yes'])} > 0 THEN 0.9::DOUBLE ELSE 0.1::D
 _GR = f"{SCORED}, g AS (SELECT *, {sql_pct('score', D)} AS p, CASE WHEN fwd_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, fwd_return > 0 AS up FROM s WHERE score IS NOT NULL AND fwd_return IS NOT NULL)"
 _RES = f"""{SCORED}, j AS (SELECT s.*, s.fwd_return - avg(s.fwd_return) OVER (PARTITION BY s.decision_time, s.grp) AS adj FROM s JOIN panel p ON p.panel_id = s.panel_id WHERE epoch_us(p.label_end) < 1420070400000000 AND score IS NOT NULL AND fwd_return IS NOT NULL),
     w AS (SELECT *, {sql_pct('adj', D)} - {sql_pct('score', D)} AS resid, coalesce({sql_pct('score', D)}, 0.5) - 0.5 AS x1, coalesce({sql_pct('rt_cost', D)}, 0.5) - 0.5 AS x2 FROM j)"""
+_RES_FULL = _RES.replace("epoch_us(p.label_end) < 1420070400000000", "p.label_end IS NOT NULL")
 _TT = lambda v: f"CASE WHEN count({v}) >= 3 AND stddev_samp({v}) > 0 THEN avg({v}) / (stddev_samp({v}) / sqrt(count({v}))) END"
 _BA = f"{SCORED}, t AS (SELECT *, (row_number() OVER (PARTITION BY decision_time, grp ORDER BY panel_id) - 1) // 5 AS batch FROM s WHERE score IS NOT NULL), b AS (SELECT *, count(*) OVER (PARTITION BY decision_time, grp, batch) AS n FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY decision_time, grp, batch ORDER BY score DESC, panel_id) AS k FROM b WHERE n = 5)"
 _FW = "regexp_extract(name, '^([A-Za-z0-9]+)', 1)"
@@ -256,6 +267,8 @@ SQL = {
     "identification": f"SELECT count(*) AS n, {r('avg(CASE WHEN (CASE WHEN contains(text, {q}revenue of{q}) THEN {q}release{q} ELSE {q}note{q} END) = doc_type THEN 1.0 ELSE 0.0 END)'.replace('{q}', chr(39)))} AS rate, {r('0.2')} AS chance FROM documents WHERE text IS NOT NULL",
     "attribution_slopes": f"WITH {_RES}, ll AS (SELECT decision_time, resid, unnest(['x1', 'x2']) AS field, unnest([x1, x2]) AS x FROM w), p AS (SELECT decision_time, field, count(*) AS n, covar_pop(x, resid) / nullif(var_pop(x), 0) AS b FROM ll WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7), t AS (SELECT field, count(b) AS periods, avg(b) AS slope, {_TT('b')} AS t FROM p GROUP BY 1) SELECT field, periods, {r('slope')} AS slope, {r('t')} AS t, CASE WHEN coalesce(abs(t), 0) < 2 THEN 'fine' WHEN field = 'x2' THEN 'missing' WHEN t > 0 THEN 'under-weighted' ELSE 'over-weighted' END AS verdict FROM t",
     "calibration_levels": f"WITH {_RES}, p AS (SELECT decision_time, floor((x2 + 0.5) * 4.999) AS level, avg(resid) AS g FROM w WHERE resid IS NOT NULL GROUP BY 1, 2) SELECT level, count(g) AS periods, {r('avg(g)')} AS gap, {r(_TT('g'))} AS t FROM p GROUP BY 1",
+    "attribution_slopes_full": f"WITH {_RES_FULL}, ll AS (SELECT decision_time, resid, unnest(['x1', 'x2']) AS field, unnest([x1, x2]) AS x FROM w), p AS (SELECT decision_time, field, count(*) AS n, covar_pop(x, resid) / nullif(var_pop(x), 0) AS b FROM ll WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7), t AS (SELECT field, count(b) AS periods, avg(b) AS slope, {_TT('b')} AS t FROM p GROUP BY 1) SELECT field, periods, {r('slope')} AS slope, {r('t')} AS t, CASE WHEN coalesce(abs(t), 0) < 2 THEN 'fine' WHEN field = 'x2' THEN 'missing' WHEN t > 0 THEN 'under-weighted' ELSE 'over-weighted' END AS verdict FROM t",
+    "calibration_levels_full": f"WITH {_RES_FULL}, p AS (SELECT decision_time, floor((x2 + 0.5) * 4.999) AS level, avg(resid) AS g FROM w WHERE resid IS NOT NULL GROUP BY 1, 2) SELECT level, count(g) AS periods, {r('avg(g)')} AS gap, {r(_TT('g'))} AS t FROM p GROUP BY 1",
     "rolling_ic_decay": f"""WITH {SCORED}, a AS (SELECT *, fwd_return - avg(fwd_return) OVER (PARTITION BY decision_time, grp) AS adj FROM s), b AS (SELECT * FROM a WHERE score IS NOT NULL AND adj IS NOT NULL), c AS (SELECT decision_time, {sql_pct('score', D)} AS x, {sql_pct('adj', D)} AS y FROM b),
         i AS (SELECT decision_time, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS ic FROM c GROUP BY 1), k AS (SELECT ic, row_number() OVER (ORDER BY decision_time DESC) AS k FROM i WHERE ic IS NOT NULL), m AS (SELECT avg(ic) FILTER (k > 12) AS early, avg(ic) FILTER (k <= 12) AS late, var_samp(ic) FILTER (k <= 12) / count(*) FILTER (k <= 12) + var_samp(ic) FILTER (k > 12) / count(*) FILTER (k > 12) AS v FROM k)
         SELECT {r('early')} AS early, {r('late')} AS late, {r('sign(early) * (late - early) / nullif(sqrt(v), 0)')} AS t FROM m""",
