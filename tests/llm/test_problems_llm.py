@@ -134,11 +134,39 @@ def test_stuffed_pages(spark):
     assert stuffing.stuffed_pages(docs.limit(0)).collect() == []
 
 
-def test_stuffing_measures():
-    f = stuffing.folded("see hxxp://bad[.]example[.]com/x, [a](https://b.example/c) and #tag #two $ABC12 x-y:z")
-    assert "example" not in f and "#" not in f
-    assert stuffing.shares("", "") == (0.0, 0.0)
-    assert stuffing.language_class("Привет мир", "en") == "cyrillic" and stuffing.language_class("Привет мир", "ru") == "ru" and stuffing.language_class("hello", None) == "latin"
+def test_stuffing_measures(spark):
+    rows = [
+        ("see hxxp://bad[.]example[.]com/x, [a](https://b.example/c) and #tag #two x-y:z", "en"),
+        ("Привет мир", "en"),
+        ("Привет мир", "ru"),
+        ("hello", None),
+        ("One plain sentence stands here. Get cheap loans fast, cheap loans now.", "de"),
+        ("需要は弱く、注文は減った。", "ja"),
+        ("no mark at the end of this line\nhttps://a.example/b.html", "fr"),
+        ("word " * 2000, "en"),
+    ]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = docs.select(
+        stuffing.language_class(F.col("text"), F.col("lang")).alias("kind"),
+        stuffing.punctuated(F.col("text")).alias("part"),
+        stuffing.blocks_of(F.col("text")).alias("blocks"),
+        stuffing.folded(F.col("text")).alias("fold"),
+    ).collect()
+    assert [r.kind for r in got] == ["en", "cyrillic", "ru", "latin", "de", "ja", "fr", "en"]
+    assert "example" not in got[0].fold and "#" not in got[0].fold
+    assert [round(r.part, 2) for r in got] == [0, 0, 0, 0, 0.44, 1, 0, 0]
+    assert "".join(got[-1].blocks) == "word " * 2000 and {len(b) for b in got[-1].blocks[:-1]} <= set(range(600, 1001))
+    assert len(got[0].blocks) == 1
+
+
+def test_each_gate_of_stuffed_pages_decides(spark):
+    rnd = random.Random(4)
+    good = [" ".join(rnd.sample(SENTENCES, 5)) + f" Case {i} was closed on day {i * 7}." for i in range(40)]
+    words = "".join(chr(97 + rnd.randrange(26)) if rnd.random() < 0.85 else " " for _ in range(1500))
+    repeated = " ".join([SENTENCES[0]] * 8)
+    texts = [*good, words, repeated, "cheap loans fast " * 60]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in stuffing.stuffed_pages(docs).collect()] == [42]  # neither unpunctuated nor redundant alone
 
 
 def people(spark, n, seed=1):

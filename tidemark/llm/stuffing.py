@@ -1,146 +1,150 @@
-"""Keyword-stuffed and link-list pages: block-wise compression, sentence punctuation, and the share of stuffed text."""
+"""Keyword-stuffed and link-list pages: block-wise compression against what is usual, confirmed by sentence punctuation."""
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage, table
 
-#: Bytes of folded text that are compressed together.
-BLOCK = 2048
-#: A page is redundant if its blocks compress to at most this ratio, and to at most this share of what is usual for
-#: pages of its language and length: the upper quartile, which pages of sentences hold even where many are stuffed.
-MOST_RATIO, OF_USUAL = 0.45, 1.0
-#: A ratio that is redundant in any language and at any length, even where all others of its kind are stuffed.
-ALWAYS = 0.25
-#: Sentences per character, as a share of the sentence marks usual for the language, up to which punctuation counts as sparse.
-SPARSE = 0.75
-#: Least share of a page's characters in links, tags and keyword runs. TESTDATA asks two thirds; the rest is what
-#: breaks and marks between them may take.
-STUFFED = 0.64
-#: Lengths of at least 2 to this power are one class: they have whole blocks.
-WHOLE = 11
+#: Characters of a block; blocks end at white space where there is some in their last third.
+BLOCK = 1000
+#: A block is redundant if its compression ratio is at most this share of the median ratio of blocks of its language
+#: and length; about one block in twelve of pages of sentences is.
+EXTREME = 0.85
+#: Blocks that a language and length must have for a median of its own; with fewer, the nearest length that has them counts.
+ENOUGH = 20
+#: A page is redundant if its redundant blocks have at least this share of its bytes.
+REDUNDANT = 0.4
+#: Punctuation is sparse if sentences have at most this share of a page's characters: TESTDATA asks two thirds of stuffing.
+SPARSE = 1 / 3
+#: Characters and words of what counts as a sentence.
+SHORTEST, LONGEST, WORDS = 8, 600, 4
 
 #: Languages told apart, and the scripts of their letters.
 LANGUAGES = {"en": "latin", "fr": "latin", "de": "latin", "es": "latin", "ru": "cyrillic", "ar": "arabic", "ja": "cjk"}
+LETTERS = {"cyrillic": "[Ѐ-ӿ]", "arabic": "[؀-ۿ]", "cjk": "[぀-ヿ一-鿿]"}
 
-_URL = r"""(?:\[\.\]|[^\s<>"'()\[\]])*"""
-_TLD = r"(?:com|net|org|io|biz|info|test|example|invalid)"
-_DOT = r"(?:\.|\[\.\])"
-_LINK = re.compile(
-    r"<a\s[^>]*>[^<]*</a>|\[[^\]\n]{0,120}\]\([^)\s]*\)"
-    rf"|\b(?:h(?:tt|xx)ps?://|www{_DOT}){_URL}(?<![.,;:!?])"
-    rf"|\b[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}{_TLD}\b(?:/{_URL})?(?<![.,;:!?])",
-    re.I,
-)
-_LINK_SIGNS = ("://", "[.]", "](", "<a ", ".com", ".net", ".org", ".io", ".biz", ".info", ".test", ".example", ".invalid")
-_TAG = re.compile(r"[#＃]\w[\w-]*|\$[A-Za-z][A-Za-z0-9]{1,7}\b|\b[A-Za-z]{3,4}[:-](?=[A-Za-z]*\d)[A-Za-z0-9]{5,8}\b")
-_MARK = "\x01"
-_END = re.compile(r"(?<=[.!?؟।])(?!\w)|(?<=[。！？])|\n|(?<=>)(?=<)")
-_STOP = re.compile(r"[.!?؟।](?!\w)|[。！？]")
-_WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*|\d+(?:[.,]\d+)*")
-_CJK = re.compile(r"[぀-ヿ一-鿿]{5,}")
-_FOREIGN = re.compile(r"[Ͱ-῿぀-鿿]")
-_CLOSING = re.compile(r"""(?:["”»)\'\s\x01(]|&\w+;|&#\d+;|</?\w+>)+$""")
-_LETTERS = {"cyrillic": re.compile("[Ѐ-ӿ]"), "arabic": re.compile("[؀-ۿ]"), "cjk": re.compile("[぀-ヿ一-鿿]")}
-_DIGITS = bytes.maketrans(b"123456789", b"000000000")
-
-
-def folded(text: str) -> str:
-    """The text with every link and tag as one mark."""
-    low = text.lower()
-    if any(s in low for s in _LINK_SIGNS):
-        text = _LINK.sub(_MARK, text)
-    if text.count("#") + text.count("＃") + text.count("$") + text.count("-") + text.count(":") > 3:
-        text = _TAG.sub(_MARK, text)
-    return text
-
-
-def block_ratio(fold: str, text: str) -> float:
-    """Compressed bytes of the folded text, digits alike and case dropped, per byte of the text, block by block."""
-    b = fold.lower().encode("utf-8", "replace").translate(_DIGITS)
-    return sum(len(zlib.compress(b[i : i + BLOCK], 4)) for i in range(0, len(b), BLOCK)) / max(1, len(text.encode("utf-8", "replace")))
-
-
-def shares(fold: str, text: str) -> tuple[float, float]:
-    """Share of the text in links, tags and keyword runs; sentences per thousand characters.
-
-    A sentence ends with its mark, has six words or more (four in scripts other than Latin, or a run of five letters
-    in Chinese or Japanese), and no pair of words occurs twice in it: keywords dressed as a sentence repeat theirs.
-    Short lines of figures are neither.
+#: Markup, words joined by signs (addresses, paths, compounds) and words with a sign before them are one symbol each
+#: to the compressor, so that lists of them are as redundant as they look, whatever their names are.
+_JOINED = r"(?U)<[^<>]*>|\S*[\p{L}\p{N}][\])]?[./:@_=&?#-]+[\[(]?[\p{L}\p{N}]\S*|[#＃$]\w\S*"
+#: After a sentence mark that isn't inside a word, and at ends of lines.
+_ENDS = "(?<=[.!?؟।])(?=[\\s\"'”»)<]|$)|(?<=[。！？])|\\n"
+
+
+def blocks_of(text: Column) -> Column:
+    """The text, white space runs as one, in blocks of up to BLOCK characters; a short rest belongs to the last one."""
+    flat = F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.regexp_extract_all(flat, F.lit(rf"(?s).{{1,{BLOCK * 4 // 3}}}\z|.{{{BLOCK * 2 // 3},{BLOCK}}}(?=\s)|.{{1,{BLOCK}}}"), F.lit(0))
+
+
+def folded(block: Column) -> Column:
+    """What is compressed of a block: lower case, digits alike, joined words as one symbol."""
+    return F.translate(F.lower(F.regexp_replace(block, _JOINED, "\x01")), "123456789", "000000000")
+
+
+def punctuated(text: Column) -> Column:
+    """Share of the text's characters in sentences.
+
+    A sentence ends with its mark, is no longer than LONGEST, has WORDS words (its mark alone tells where words aren't
+    spaced), and no pair of words occurs twice in it: keywords dressed as sentences repeat theirs.
     """
-    stuffed, sentences = len(text) - len(fold), 0
-    parts = [s for s in _END.split(fold) if s and not s.isspace()]
-    for k, s in enumerate(parts):
-        words = [w.lower() for w in _WORD.findall(s)]
-        if not words:
-            stuffed += len(s) - s.count(_MARK) if _MARK in s else 0  # what stands between the links of a list
-            continue
-        letters = [w for w in words if not w[0].isdigit()]
-        pairs = list(zip(letters, letters[1:]))
-        twice = len(pairs) - len(set(pairs))
-        ended = _CLOSING.sub("", s)[-1:] in tuple(".!?。！？؟।")
-        foreign = len(_FOREIGN.findall(s)) >= 0.5 * sum(map(len, letters))
-        if ended and ((len(words) >= 6 and twice <= 0.06 * len(pairs)) or (twice == 0 and ((foreign and len(words) >= 4) or _CJK.search(s)))):
-            sentences += 1
-        elif k == len(parts) - 1 and len(words) >= 6 and twice == 0 and _MARK not in s:
-            continue  # a sentence cut off at the end of the text
-        elif not (len(words) < 12 and twice == 0 and sum(map(str.isdigit, s)) >= 0.15 * len(s)):
-            stuffed += len(s) - s.count(_MARK)
-    return stuffed / max(1, len(text)), 1000 * sentences / max(1, len(text))
-
-
-def language_class(text: str, lang: str | None) -> str:
+
+    def proper(s: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(s), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
+        plain = F.filter(words, lambda w: ~w.rlike(r"^\d+$"))
+        pairs = F.zip_with(F.slice(plain, 1, F.greatest(F.size(plain) - 1, F.lit(0))), F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        ended = s.rlike("[。！？]$") | (s.rlike("[.!?؟।]$") & (F.size(words) >= WORDS))
+        return F.length(F.trim(s)).between(SHORTEST, LONGEST) & ended & (F.size(F.array_distinct(pairs)) == F.size(pairs))
+
+    in_sentences = F.aggregate(F.filter(F.split(text, _ENDS), proper), F.lit(0), lambda n, s: n + F.length(s))
+    return in_sentences / F.length(text)
+
+
+def language_class(text: Column, lang: Column) -> Column:
     """The language if the text's letters are of its script, else the script."""
-    head = text if text.isascii() is False else ""
-    script = next((k for k, p in _LETTERS.items() if head and len(p.findall(head)) > 0.3 * len(head)), "latin")
-    return lang if lang in LANGUAGES and LANGUAGES[lang] == script else script
+    script = F.lit("latin")
+    for name, letters in reversed(LETTERS.items()):
+        script = F.when(F.regexp_count(text, F.lit(letters)) > 0.3 * F.length(text), name).otherwise(script)
+    script = F.when(F.octet_length(text) == F.length(text), F.lit("latin")).otherwise(script)
+    own = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.coalesce(lang, F.lit(""))]
+    return F.when(own == script, lang).otherwise(script)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folds of the last column replaced by their compressed sizes in bytes."""
+    for b in batches:
+        folds, sizes = b.column(b.num_columns - 1), []
+        for f in folds.flatten().cast(pa.binary()):
+            c = zlib.compressobj(6, zlib.DEFLATED, -12, 4)
+            sizes.append(len(c.compress(f.as_buffer())) + len(c.flush()))
+        offsets = pa.array([0, *folds.value_lengths().to_pylist()], pa.int64()).to_numpy().cumsum()
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "packed"])
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, kind (language class), size (length class), ratio, marks (sentence marks per thousand characters),
-    stuffed, sentences of every row with a text.
+    """doc_id, kind (language class), punctuated, and of each block bytes, size (length class), packed (bytes), of every row with a text.
+
+    Everything but the compressing is done in the JVM; only folded blocks go to Python, by Arrow batches."""
+    some = docs.where(F.col("text").rlike(r"(?U)\S"))
+    d = some.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        language_class(F.col("text"), F.col("lang").cast("string")).alias("kind"),
+        punctuated(F.col("text")).alias("punctuated"),
+        blocks_of(F.col("text")).alias("blocks"),
+    )
+    d = d.select(
+        "doc_id", "kind", "punctuated",
+        F.transform("blocks", F.octet_length).alias("bytes"),
+        F.transform("blocks", lambda b: F.round(2 * F.log2(F.length(b))).cast("int")).alias("size"),
+        F.transform("blocks", folded).alias("folds"),
+    )
+    return d.mapInArrow(_packed, "doc_id long, kind string, punctuated double, bytes array<int>, size array<int>, packed array<int>")
+
+
+def usual_ratios(measured: DataFrame) -> dict[tuple[str, int], float]:
+    """Median compression ratio of the blocks of each language class and length class, over all pages.
 
-    stuffed and sentences are null for pages that aren't redundant whatever is usual (ratio above MOST_RATIO)."""
+    A class of fewer than ENOUGH blocks has the median of the nearest length of its language with so many, else of any
+    language, else its own. There are 7 languages and 4 scripts at most and 22 length classes, whatever the input."""
+    b = measured.select("kind", F.explode(F.arrays_zip("bytes", "size", "packed")).alias("b"))
+    b = b.groupBy("kind", F.col("b.size").alias("size")).agg(F.percentile_approx(F.col("b.packed") / F.col("b.bytes"), 0.5, 10_000).alias("usual"), F.count("*").alias("n"))
+    rows = b.collect()
+    dense = [r for r in rows if r.n >= ENOUGH] or rows
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, t, lang in zip(b["doc_id"], b["text"], b["lang"]):
-                f = folded(t)
-                r = block_ratio(f, t)
-                st, se = shares(f, t) if r <= MOST_RATIO else (None, None)
-                out.append((i, language_class(t, lang), min(len(t).bit_length(), WHOLE), r, 1000 * len(_STOP.findall(t)) / len(t), st, se))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "size", "ratio", "marks", "stuffed", "sentences"])
+    def norm(r) -> float:
+        return r.usual if r.n >= ENOUGH else min(dense, key=lambda d: (d.kind != r.kind, abs(d.size - r.size), d.kind, d.size)).usual
 
-    some = docs.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S")).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return some.mapInPandas(run, "doc_id long, kind string, size int, ratio double, marks double, stuffed double, sentences double")
+    return {(r.kind, r.size): norm(r) for r in rows}
 
 
 def stuffed_pages(docs: DataFrame) -> DataFrame:
-    """doc_id, ratio, sentences, stuffed of pages of repeated keywords, link lists or tags; repeats each for itself.
+    """doc_id, redundant, punctuated of pages of repeated keywords, link lists or tags; repeats each for itself.
 
-    Flagged by extreme redundancy (block-wise compression ratio, normalised by the corpus's upper quartiles of its
-    language and length), confirmed by sparse sentence punctuation (against the median of the language's pages) and by the share of stuffed
-    text. Null, empty and blank texts are none; lang may be null or wrong. doc_id is a bigint. A language or length
-    of which there are no other pages is normalised by what there is, at worst by itself.
+    A page is flagged if its redundant blocks (compression ratio at most EXTREME times the median of the language and
+    length) have REDUNDANT of its bytes, and confirmed if its sentences (see punctuated) have at most SPARSE of its
+    characters. Null, empty and blank texts are none; lang may be null or wrong. doc_id is a bigint. A language and
+    length with few blocks is normalised by the nearest length (see usual_ratios), a table of so few pages by itself, and
+    a language most of whose blocks are stuffed by stuffed ones.
 
-    Plan: one pass over whole texts without a shuffle; its measures (a few numbers a page) are written once. The
-    norms have at most 11 kinds times 11 sizes, whatever the input, so they are broadcast.
+    Plan: one pass over whole texts without a shuffle; its measures (a few numbers a block) are written once. The
+    norms are at most a few hundred numbers.
     """
     m = cut_lineage(measures(docs))
-    usual = m.groupBy("kind", "size").agg(F.percentile_approx("ratio", 0.75, 1000).alias("usual_ratio"))
-    rhythm = m.groupBy("kind").agg(F.percentile_approx("marks", 0.5, 1000).alias("usual_marks"))
-    got = m.where(F.col("stuffed") >= STUFFED).join(F.broadcast(usual), ["kind", "size"]).join(F.broadcast(rhythm), "kind")
-    redundant = F.col("ratio") <= F.greatest(F.lit(OF_USUAL) * F.col("usual_ratio"), F.lit(ALWAYS))
-    sparse = F.col("sentences") <= F.lit(SPARSE) * F.col("usual_marks")
-    return got.where(redundant & sparse).select("doc_id", "ratio", "sentences", "stuffed")
+    usual = usual_ratios(m)
+    pairs = [F.lit(x) for (kind, size), v in sorted(usual.items()) for x in (f"{kind} {size}", v)]
+    norm = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,double>")
+    m = m.withColumn("norm", norm)
+    is_redundant = lambda b: b["packed"] <= EXTREME * F.col("norm")[F.concat_ws(" ", F.col("kind"), b["size"].cast("string"))] * b["bytes"]
+    size = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda n, b: n + b["bytes"])
+    blocks = F.arrays_zip("bytes", "size", "packed")
+    got = m.select("doc_id", (size(F.filter(blocks, is_redundant)) / size(blocks)).alias("redundant"), "punctuated")
+    return got.where((F.col("redundant") >= REDUNDANT) & (F.col("punctuated") <= SPARSE))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
