@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import cut_lineage, table
+from tidemark.session import cut_lineage, held, table
 
 #: Characters of a block; blocks end at white space where there is some in their last third.
 BLOCK = 1000
@@ -31,20 +31,31 @@ LETTERS = {"cyrillic": "[Ѐ-ӿ]", "arabic": "[؀-ۿ]", "cjk": "[぀-ヿ一-鿿]"
 
 #: Markup, words joined by signs (addresses, paths, compounds) and words with a sign before them are one symbol each
 #: to the compressor, so that lists of them are as redundant as they look, whatever their names are.
-_JOINED = r"(?U)<[^<>]*>|\S*[\p{L}\p{N}][\])]?[./:@_=&?#-]+[\[(]?[\p{L}\p{N}]\S*|[#＃$]\w\S*"
-#: After a sentence mark that isn't inside a word, and at ends of lines.
-_ENDS = "(?<=[.!?؟।])(?=[\\s\"'”»)<]|$)|(?<=[。！？])|\\n"
+_JOINED = r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++[\])]?[./:@_=&?#-]++[\[(]?[\p{L}\p{N}]\S*+|<[^<>]*+>|[#＃$][\p{L}\p{N}]\S*+"
+#: Marks that end a sentence with spaces between words, and without; signs that play no part between words.
+_STOPS, _FULL_STOPS, _SIGNS = ".!?؟।", "。！？", ",;:\"()“”„«»"
+#: Upper case and digits, to the compressor.
+_ALIKE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", b"abcdefghijklmnopqrstuvwxyz000000000")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of the value, which is computed once however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def evened(text: Column) -> Column:
+    """The text with runs of spaces as one."""
+    return F.regexp_replace(text, "  +", " ")
 
 
 def blocks_of(text: Column) -> Column:
-    """The text, white space runs as one, in blocks of up to BLOCK characters; a short rest belongs to the last one."""
-    flat = F.regexp_replace(text, r"(?U)\s+", " ")
-    return F.regexp_extract_all(flat, F.lit(rf"(?s).{{1,{BLOCK * 4 // 3}}}\z|.{{{BLOCK * 2 // 3},{BLOCK}}}(?=\s)|.{{1,{BLOCK}}}"), F.lit(0))
+    """The text in blocks of up to BLOCK characters; a short rest belongs to the last one."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK * 4 // 3}}}\z|.{{{BLOCK * 2 // 3},{BLOCK}}}(?=\s)|.{{1,{BLOCK}}}"), F.lit(0))
 
 
 def folded(block: Column) -> Column:
-    """What is compressed of a block: lower case, digits alike, joined words as one symbol."""
-    return F.translate(F.lower(F.regexp_replace(block, _JOINED, "\x01")), "123456789", "000000000")
+    """What is compressed of a block, but for letter case and digits: joined words as one symbol."""
+    return F.regexp_replace(block, _JOINED, "\x01")
 
 
 def punctuated(text: Column) -> Column:
@@ -55,14 +66,25 @@ def punctuated(text: Column) -> Column:
     """
 
     def proper(s: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(s), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0))
-        plain = F.filter(words, lambda w: ~w.rlike(r"^\d+$"))
-        pairs = F.zip_with(F.slice(plain, 1, F.greatest(F.size(plain) - 1, F.lit(0))), F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-        ended = s.rlike("[。！？]$") | (s.rlike("[.!?؟।]$") & (F.size(words) >= WORDS))
-        return F.length(F.trim(s)).between(SHORTEST, LONGEST) & ended & (F.size(F.array_distinct(pairs)) == F.size(pairs))
-
-    in_sentences = F.aggregate(F.filter(F.split(text, _ENDS), proper), F.lit(0), lambda n, s: n + F.length(s))
-    return in_sentences / F.length(text)
+        last = F.right(s, F.lit(1))
+        unspaced = last.isin(*_FULL_STOPS)
+        words = F.filter(F.split(F.rtrim(s, F.lit(_STOPS + _FULL_STOPS)), " "), lambda w: w != "")
+        others = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = lambda w: F.zip_with(F.slice(w, 1, others(w)), F.slice(w, 2, others(w)), lambda a, b: F.xxhash64(a, b))
+        once = lambda w: _let(pairs(w), lambda p: F.size(F.array_distinct(p)) == F.size(p))
+        ended = (unspaced | last.isin(*_STOPS)) & F.length(s).between(SHORTEST, LONGEST)
+        return ended & _let(words, lambda w: (unspaced | (F.size(w) >= WORDS)) & once(w))
+
+    def share(plain: Column) -> Column:
+        in_sentences = F.aggregate(F.filter(F.split(plain, "\n"), proper), F.lit(0), lambda n, s: n + F.length(s))
+        return in_sentences / F.greatest(F.length(plain), F.lit(1))
+
+    plain = F.lower(text)
+    for sign in _SIGNS:
+        plain = F.replace(plain, F.lit(sign), F.lit(""))
+    for here, there in [("\r", "\n"), ("<", "\n<"), *[(f"{s} ", f"{s}\n") for s in _STOPS], *[(s, f"{s}\n") for s in _FULL_STOPS]]:
+        plain = F.replace(plain, F.lit(here), F.lit(there))
+    return _let(plain, share)
 
 
 def language_class(text: Column, lang: Column) -> Column:
@@ -70,7 +92,7 @@ def language_class(text: Column, lang: Column) -> Column:
     script = F.lit("latin")
     for name, letters in reversed(LETTERS.items()):
         script = F.when(F.regexp_count(text, F.lit(letters)) > 0.3 * F.length(text), name).otherwise(script)
-    script = F.when(F.octet_length(text) == F.length(text), F.lit("latin")).otherwise(script)
+    script = F.when(F.octet_length(text) <= 1.3 * F.length(text), F.lit("latin")).otherwise(script)  # a letter of the others has two bytes or three
     own = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.coalesce(lang, F.lit(""))]
     return F.when(own == script, lang).otherwise(script)
 
@@ -79,9 +101,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The folds of the last column replaced by their compressed sizes in bytes."""
     for b in batches:
         folds, sizes = b.column(b.num_columns - 1), []
-        for f in folds.flatten().cast(pa.binary()):
+        for f in folds.flatten().cast(pa.binary()).to_pylist():
             c = zlib.compressobj(6, zlib.DEFLATED, -12, 4)
-            sizes.append(len(c.compress(f.as_buffer())) + len(c.flush()))
+            sizes.append(len(c.compress(f.translate(_ALIKE))) + len(c.flush()))
         offsets = pa.array([0, *folds.value_lengths().to_pylist()], pa.int64()).to_numpy().cumsum()
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sizes, pa.int32()))
         yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists], [*b.schema.names[:-1], "packed"])
@@ -91,12 +113,13 @@ def measures(docs: DataFrame) -> DataFrame:
     """doc_id, kind (language class), punctuated, and of each block bytes, size (length class), packed (bytes), of every row with a text.
 
     Everything but the compressing is done in the JVM; only folded blocks go to Python, by Arrow batches."""
-    some = docs.where(F.col("text").rlike(r"(?U)\S"))
+    some = docs.where(F.col("text").rlike(r"(?U)\S")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    some = held(some.select("doc_id", "lang", "text"), "even", evened(F.col("text")))
     d = some.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        language_class(F.col("text"), F.col("lang").cast("string")).alias("kind"),
-        punctuated(F.col("text")).alias("punctuated"),
-        blocks_of(F.col("text")).alias("blocks"),
+        "doc_id",
+        language_class(F.col("even"), F.col("lang")).alias("kind"),
+        punctuated(F.col("even")).alias("punctuated"),
+        blocks_of(F.col("even")).alias("blocks"),
     )
     d = d.select(
         "doc_id", "kind", "punctuated",
