@@ -20,6 +20,8 @@ VOCABULARY = os.environ.get("TIDEMARK_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a block, whose distinct words are joined as one; a block is what a Python worker holds at once.
 BLOCK_BYTES = 12_000_000
+#: Bytes of text that a byte of a columnar file is taken for, and the estimate from which on it is none.
+EXPANSION, UNKNOWN = 4, 1 << 50
 
 _coders: dict = {}
 
@@ -29,11 +31,11 @@ def _ranks(blob: bytes) -> dict[bytes, int]:
 
 
 def _coder(blob: bytes):
-    """The merges of a rank file, read once a Python worker."""
+    """The merges of a rank file, read once a Python worker; a text is one word to it."""
     if hash(blob) not in _coders:
         import tiktoken
 
-        _coders[hash(blob)] = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=_ranks(blob), special_tokens={})
+        _coders[hash(blob)] = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=_ranks(blob), special_tokens={})
     return _coders[hash(blob)]
 
 
@@ -52,9 +54,9 @@ def encode_words(words: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     blob = _read(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _coder(blob)._encode_single_piece
+        encode = _coder(blob).encode_ordinary
         for b in batches:
-            ids = [encode(w.as_buffer().to_pybytes()) for w in b.column(0).cast(pa.binary())]
+            ids = [encode(w) for w in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return words.mapInArrow(run, "word string, ids array<int>")
@@ -86,6 +88,15 @@ def _join_back(counts_only: bool):
     return run
 
 
+def _blocks(docs: DataFrame) -> int:
+    """Blocks for the texts, by the size that the planner knows of its files; where it knows none the texts are measured."""
+    leaves = docs._jdf.queryExecution().analyzed().collectLeaves()
+    size = EXPANSION * sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= UNKNOWN:
+        size = int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n)
+    return max(1, -(-size // BLOCK_BYTES))
+
+
 def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
     """doc_id, ids (array<int>) of each row's text, or with counts_only doc_id, n_tokens (bigint).
 
@@ -93,15 +104,16 @@ def encode_corpus(docs: DataFrame, vocabulary: str = VOCABULARY, counts_only: bo
     out once, so a repeated doc_id comes out as often. doc_id is a bigint and may be null. Columns other than doc_id
     and text play no part. Whole texts are encoded, whatever their length.
 
-    Plan: texts are shuffled once into blocks of about BLOCK_BYTES. A block's words are split in the JVM and made
+    Plan: texts are read once and shuffled once into blocks of about BLOCK_BYTES, each a task's work. A block's words are split in the JVM and made
     distinct in place and go out by word, once for both uses: the distinct words of all blocks are encoded once each; their ids go back to the blocks (a word
     is joined once a block, not once an occurrence, so frequent words are no hot key) and are put into the places of
     the words by position, vectorised over a block.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    blocks = _blocks(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")).repartition("block")
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    # No fewer than any other shuffle has, or it would be shuffled again; more than blocks, so that few tasks have two.
+    d = d.repartition(max(2 * blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
     split = d.select("block", "doc_id", split_words("text").alias("words"))
     # explode_outer: for explode, a filter on the split text would be inferred and the text split before the shuffle too.
     # some, block: every use of the two shuffles reads the same columns, so each is made once.
