@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import fresh, number, table
+from tidemark.session import cut_lineage, fresh, number, table
 
 #: Buckets per factor e of the score's size: 128 give edges 0.8 % apart, at most about 90,000 buckets for all doubles.
 STEPS_PER_E = 128
-#: A threshold pays only in groups of more than so many times n rows; smaller groups are ranked as they are.
-WORTHWHILE = 16
+#: Floors that are sent to every task: those of the groups they shorten most. A group without one is no larger than a
+#: share of 1 / FLOORS of the rows, and is ranked as it is.
+FLOORS = 10_000
 
 
 def score_bucket(score: Column) -> Column:
@@ -32,23 +33,29 @@ def top_n_per_group(
     empty one. All columns of df stay; if `name` is among them it is replaced.
 
     Plan: a histogram per group (combined before the shuffle) gives the lowest bucket that still leaves n rows; rows
-    below it are dropped by a join that splits a hot group (adaptive skew join), and the survivors are ranked by a
-    window whose row limit is applied before the shuffle, so that no task sees a group whole.
+    below it are dropped where they are, by floors of which a bounded number is broadcast, so no row is shuffled to
+    meet its floor and a hot group is cut down in every task that reads it. The survivors are ranked by a window whose
+    row limit is applied before the shuffle, so that no task sees a group whole. df is read twice: write it first if it
+    is costly.
     """
     keep = [c for c in df.columns if c.lower() != name.lower()]
     s, b, lo, cnt, cum, tot, *gs = fresh(df, "s", "b", "lo", "cnt", "cum", "tot", *[f"g{i}" for i in range(len(group))])
     rows = df.withColumn(s, number(F.col(score).cast("double"))).where(F.col(s).isNotNull()).withColumn(b, score_bucket(F.col(s)))
     hist = rows.groupBy(*[F.col(g).alias(k) for g, k in zip(group, gs)], b).agg(F.count("*").alias(cnt))
     down = Window.partitionBy(*gs).orderBy(F.col(b).desc())
-    floor = (
+    floors = (
         hist.withColumn(cum, F.sum(cnt).over(down.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn(tot, F.sum(cnt).over(Window.partitionBy(*gs)))
-        .where((F.col(tot) > WORTHWHILE * n) & (F.col(cum) >= n))
+        .where(F.col(cum) >= n)
         .groupBy(*gs)
-        .agg(F.max(b).alias(lo))
+        .agg(F.max(b).alias(lo), (F.first(tot) - F.min(cum)).alias(cnt))
+        .where(F.col(cnt) > 0)
+        .orderBy(F.col(cnt).desc())
+        .limit(FLOORS)
+        .drop(cnt)
     )
     on = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, gs)]
-    left = rows.join(floor, on, "left").where(F.col(lo).isNull() | (F.col(b) >= F.col(lo)))
+    left = rows.join(F.broadcast(floors), on, "left").where(F.col(lo).isNull() | (F.col(b) >= F.col(lo)))
     best = Window.partitionBy(*group).orderBy(F.col(s).desc(), *[F.col(t).asc() for t in ties])
     return left.withColumn(name, F.row_number().over(best)).where(F.col(name) <= n).select(*keep, name)
 
@@ -63,7 +70,7 @@ def ranked_panel(panel: DataFrame, scored: DataFrame, n: int = 3) -> DataFrame:
     """grp, decision_time, panel_id, score, top_rank of the first n scored rows of each (grp, decision_time)."""
     rows = panel.select("panel_id", F.coalesce("grp", F.lit("all")).alias("grp"), "decision_time")
     rows = rows.join(latest_scores(scored), "panel_id")
-    return top_n_per_group(rows, ["grp", "decision_time"], "score", ["panel_id"], n)
+    return top_n_per_group(cut_lineage(rows), ["grp", "decision_time"], "score", ["panel_id"], n)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
