@@ -4,6 +4,7 @@ import random
 import zoneinfo
 from datetime import date, datetime, timedelta, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.bitemporal import as_known
@@ -136,6 +137,15 @@ def test_stamps(spark):
     assert stamps(spark, []) == []
 
 
+@pytest.mark.parametrize("tz", ["America/New_York", "Asia/Manila", "Europe/Lisbon", "Africa/Casablanca", "Australia/Sydney"])
+def test_stamps_of_any_year(spark, tz):
+    zone = zoneinfo.ZoneInfo(tz)
+    days = [(y, m, d) for y in (1, 1500, 1839, 1845, 1883, 1899, 1901, 2050, 2101, 2128, 2129, 2160, 2399, 2400, 2401, 9998) for m, d in ((1, 1), (3, 12), (7, 4), (11, 3), (12, 31))]
+    local = [datetime(*d, 12, 34, 56) for d in days]
+    want = [round((x.replace(tzinfo=zone) - datetime(1970, 1, 1, tzinfo=U)).total_seconds()) * 1_000_000 for x in local]
+    assert stamps(spark, [f"{x.year:04d}-{x.month:02d}-{x.day:02d} 12:34:56" for x in local], tz) == want
+
+
 def test_stamps_through_a_year_of_clock_changes(spark):
     zone = zoneinfo.ZoneInfo("Europe/Berlin")
     texts, want = [], []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import zoneinfo
 from collections.abc import Iterable
-from datetime import UTC, datetime, timedelta
+from datetime import UTC, date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 from tidemark.session import fresh, held, table
 
 DAY = 86_400_000_000
-#: Years whose local times are resolved; a local time outside them is unreadable.
-FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: Years whose offset intervals are tabled. No zone changed its offset before them, so the first interval has no
+#: beginning; after them each year is as the one of the last 28 that starts on its weekday and is as long (zones' rules
+#: for the future go by weekdays, and 2101 to 2128 hold every kind of year).
+FIRST_YEAR, LAST_YEAR = 1840, 2128
 
 #: The fixed meaning of zone abbreviations, in minutes east of UTC.
 ABBREVIATIONS = {
@@ -35,51 +38,60 @@ _MASTER = (
 )
 
 
-def offset_intervals(zones: Iterable[str]) -> list[tuple[str, int, int, int, int]]:
-    """(tz, local_from, local_to, utc_from, offset) in microseconds of each span of constant offset of each zone.
+@functools.cache
+def zone_intervals(tz: str) -> tuple[tuple[int | None, int, int, int], ...]:
+    """(local_from, local_to, utc_from, offset) in microseconds of each span of constant offset of a zone.
 
-    The spans cover FIRST_YEAR to LAST_YEAR; found by weekly steps and bisection in the zone's own rules.
-    """
-    out = []
+    The spans cover FIRST_YEAR to LAST_YEAR, the first one everything before too (local_from null); found by weekly
+    steps and bisection in the zone's own rules, once a process."""
     epoch = datetime(1970, 1, 1, tzinfo=UTC)
     micros = lambda d: (d - epoch) // timedelta(microseconds=1)
-    first, last = datetime(FIRST_YEAR, 1, 1, tzinfo=UTC) - timedelta(days=2), datetime(LAST_YEAR, 12, 31, tzinfo=UTC) + timedelta(days=2)
-    for tz in sorted(set(zones)):
-        zone = zoneinfo.ZoneInfo(tz)
-        off = lambda d: d.astimezone(zone).utcoffset()  # noqa: B023, E731
-        start, t, o = first, first, off(first)
-        while t < last:
-            u = min(t + timedelta(days=7), last)
-            if off(u) != o:
-                lo, hi = t, u
-                while hi - lo > timedelta(seconds=1):
-                    mid = lo + timedelta(seconds=int((hi - lo).total_seconds()) // 2)
-                    lo, hi = (mid, hi) if off(mid) == o else (lo, mid)
-                out.append((tz, micros(start + o), micros(hi + o), micros(start), o // timedelta(microseconds=1)))
-                start, t, o = hi, hi, off(hi)
-            else:
-                t = u
-        out.append((tz, micros(start + o), micros(last + o), micros(start), o // timedelta(microseconds=1)))
-    return out
+    zone = zoneinfo.ZoneInfo(tz)
+    off = lambda d: d.astimezone(zone).utcoffset()
+    start, last = datetime(FIRST_YEAR, 1, 1, tzinfo=UTC) - timedelta(days=2), datetime(LAST_YEAR, 12, 31, tzinfo=UTC) + timedelta(days=2)
+    t, o, out = start, off(start), []
+    while t < last:
+        u = min(t + timedelta(days=7), last)
+        if off(u) == o:
+            t = u
+            continue
+        lo, hi = t, u
+        while hi - lo > timedelta(seconds=1):
+            mid = lo + timedelta(seconds=int((hi - lo).total_seconds()) // 2)
+            lo, hi = (mid, hi) if off(mid) == o else (lo, mid)
+        out.append((micros(start + o) if out else None, micros(hi + o), micros(start), o // timedelta(microseconds=1)))
+        start, t, o = hi, hi, off(hi)
+    return (*out, (micros(start + o) if out else None, micros(last + o), micros(start), o // timedelta(microseconds=1)))
 
 
 def interval_table(spark: SparkSession, zones: Iterable[str]) -> DataFrame:
-    """zone (upper case), local_day, spans: of every local year the intervals that touch it, exploded onto it.
+    """zone (upper case), year, spans: of every local year the intervals that touch it, exploded onto it.
 
-    One row for each zone and year, so its size is bounded by the zones that exist (about 600) times 201 years.
+    One row for each zone and year, so its size is bounded by the zones that exist (about 600) times 289 years.
     """
     by: dict[tuple[str, int], list] = {}
-    for tz, a, b, u, o in offset_intervals(zones):
-        ya, yb = (datetime(1970, 1, 1) + timedelta(microseconds=x) for x in (a - 2 * DAY, b + 2 * DAY))
-        for y in range(max(ya.year, FIRST_YEAR), min(yb.year, LAST_YEAR) + 1):
-            by.setdefault((tz.upper(), y), []).append((a, b, u, o))
+    year_of = lambda x: (datetime(1970, 1, 1) + timedelta(microseconds=x)).year
+    for tz in sorted(set(zones)):
+        for a, b, u, o in zone_intervals(tz):
+            first = FIRST_YEAR if a is None else max(year_of(a - 2 * DAY), FIRST_YEAR)
+            for y in range(first, min(year_of(b + 2 * DAY), LAST_YEAR) + 1):
+                by.setdefault((tz.upper(), y), []).append((-(1 << 62) if a is None else a, b, u, o))
     span = T.StructType([T.StructField(n, T.LongType()) for n in ("lo", "hi", "utc", "off")])
     schema = T.StructType([T.StructField("zone", T.StringType()), T.StructField("year", T.LongType()), T.StructField("spans", T.ArrayType(span))])
     return spark.createDataFrame([(z, y, v) for (z, y), v in by.items()], schema)
 
 
-
-
+def _tabled(local: Column) -> tuple[Column, Column]:
+    """Of a local time the tabled year whose intervals hold for it, and the microseconds from that year to its own."""
+    year = F.year(F.date_from_unix_date(F.floor(local / F.lit(DAY)).cast("int"))).cast("long")
+    starts = {(date(y, 1, 1).isoweekday() % 7 + 1, y % 4 == 0): y for y in range(LAST_YEAR - 27, LAST_YEAR + 1)}
+    first_day = F.make_date(year.cast("int"), F.lit(1), F.lit(1))
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    kind = F.dayofweek(first_day) * 2 + F.when(leap, 1).otherwise(0)
+    alike = F.create_map(*[F.lit(x) for (w, lp), y in starts.items() for x in (w * 2 + lp, y)])[kind]
+    days = F.datediff(first_day, F.make_date(alike.cast("int"), F.lit(1), F.lit(1))).cast("long")
+    late = year > LAST_YEAR
+    return F.when(late, alike.cast("long")).otherwise(F.greatest(year, F.lit(FIRST_YEAR).cast("long"))), F.when(late, days * F.lit(DAY)).otherwise(F.lit(0).cast("long"))
 
 
 def parse_stamps(df: DataFrame, raw: str) -> DataFrame:
@@ -149,7 +161,7 @@ def to_instants(stamps: DataFrame, raw: str, calendars: DataFrame, calendar_id:
     A zone, offset or abbreviation in the text decides (an offset before a bracketed region); without one the text is
     local time in its calendar's tz, and unreadable if the calendar or its tz is unknown. A date alone is the next
     midnight. A local time matched by two offset intervals is the later instant, by none the end of the gap, by one
-    that offset. Finer digits than microseconds are cut off. Null, blank, unreadable and impossible texts give null.
+    that offset, in any year from 1 to 9999. Finer digits than microseconds are cut off. Null, blank, unreadable and impossible texts give null.
     A column utc_micros or parsed of the input is replaced; calendars hold each id once.
     """
     spark = stamps.sparkSession
@@ -161,15 +173,17 @@ def to_instants(stamps: DataFrame, raw: str, calendars: DataFrame, calendar_id:
     spans = interval_table(spark, zones or ["UTC"])
     p = p.join(F.broadcast(cal), p[calendar_id] == cal["__cal"], "left")
     zone = F.coalesce("parsed.region", "__tz")
-    year = F.year(F.date_from_unix_date(F.floor(F.col("parsed.local") / F.lit(DAY)).cast("int"))).cast("long")
-    p = p.withColumn("__zone", F.when(F.col("parsed").isNotNull() & F.col("parsed.offset").isNull(), zone)).withColumn("__year", F.when(F.col("__zone").isNotNull(), year))
+    p = p.withColumn("__zone", F.when(F.col("parsed").isNotNull() & F.col("parsed.offset").isNull(), zone))
+    year, ahead = _tabled(F.col("parsed.local"))
+    p = held(p, "__in", F.when(F.col("__zone").isNotNull(), F.struct(year.alias("year"), ahead.alias("ahead"))))
+    p = p.withColumn("__year", F.col("__in.year"))
     spans = spans.select(F.col("zone").alias("__z"), F.col("year").alias("__y"), "spans")
     p = p.join(F.broadcast(spans), (F.col("__zone") == F.col("__z")) & (F.col("__year") == F.col("__y")), "left")  # one row a zone and year
-    local = F.col("parsed.local")
+    local = F.col("parsed.local") - F.col("__in.ahead")
     hits = F.filter("spans", lambda x: (x["lo"] <= local) & (local < x["hi"]))
     later = F.array_max(F.transform(hits, lambda x: local - x["off"]))
     gap_end = F.array_min(F.transform(F.filter("spans", lambda x: x["lo"] > local), lambda x: x["utc"]))
-    utc = F.when(F.col("parsed.offset").isNotNull(), local - F.col("parsed.offset")).when(F.col("spans").isNotNull(), F.coalesce(later, gap_end))
+    utc = F.when(F.col("parsed.offset").isNotNull(), F.col("parsed.local") - F.col("parsed.offset")).when(F.col("spans").isNotNull(), F.coalesce(later, gap_end) + F.col("__in.ahead"))
     names = [c for c in stamps.columns if c.lower() not in ("utc_micros", "parsed")]
     return held(p.drop("utc_micros"), "utc_micros", utc).select(*names, "utc_micros")
 
