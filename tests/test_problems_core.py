@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import bitemporal
 from tidemark.operators.bitemporal import as_known
 from tidemark.operators.history import attribute_history, size_history
 from tidemark.operators.outliers import implausible_lists, spikes
@@ -53,6 +54,35 @@ def test_as_known_against_brute_force(spark):
     assert known(spark, events, facts) == want
 
 
+@pytest.mark.parametrize("dense", [1, 64])
+def test_as_known_on_both_axes(spark, monkeypatch, dense):
+    monkeypatch.setattr(bitemporal, "DENSE", dense)
+    rnd = random.Random(9)
+    day = lambda: rnd.choice([None, date(2020, 1, 1) + timedelta(days=rnd.randrange(60))])
+    at = lambda: T0 + timedelta(hours=rnd.randrange(0, 900))
+    facts = [(rnd.choice("pq"), "a", at(), i, float(i % 5) if i % 7 else None, day(), day()) for i in range(300)]
+    events = [(i, rnd.choice("pqz"), at(), day()) for i in range(150)]
+    f = spark.createDataFrame(facts, "who string, attr string, at timestamp, seq long, x double, start date, stop date")
+    e = spark.createDataFrame(events + events[:5], "id long, who string, t timestamp, day date")
+    got = as_known(e, "who", "t", f, "who", "attr", "at", "seq", "x", ["a"], "id", valid_at="day", valid_from="start", valid_to="stop").collect()
+    want = []
+    for i, who, t, d in events + events[:5]:
+        known = [x for x in facts if x[0] == who and x[2] < t and d and (x[5] is None or x[5] <= d) and (x[6] is None or d < x[6])]
+        want += [(i, *max(known, key=lambda x: (x[2], x[3]))[3:5])] if known else []
+    order = lambda rows: sorted(rows, key=repr)
+    assert order((r.id, r.seq, r.value) for r in got) == order(want) and len(want) > 50
+
+
+def test_valid_spans_cover_their_days_once(spark):
+    rows = [(date(2020, 1, 1), date(2020, 1, 1)), (date(2020, 1, 1), date(2020, 3, 17)), (date(1999, 12, 31), date(2031, 7, 2)), (date(2020, 5, 2), date(2020, 5, 1))]
+    df = spark.createDataFrame(rows, "a date, b date")
+    for r in df.select("a", "b", bitemporal.valid_spans(F.col("a"), F.col("b")).alias("s")).collect():
+        days = [d for x in r.s for d in range(x.place << x.level, (x.place + 1) << x.level)]
+        first = (r.a - date(1970, 1, 1)).days - bitemporal.FIRST_DAY
+        assert sorted(days) == list(range(first, first + max(0, (r.b - r.a).days))) and len(r.s) <= 2 * bitemporal.TOP
+    assert df.select(bitemporal.valid_spans(F.lit(None).cast("date"), F.lit(None).cast("date")).alias("s")).first().s == [(bitemporal.TOP, 0)]
+
+
 def totals(spark, rows, **kw):
     df = spark.createDataFrame(rows, "k string, d date, v double, n7 string, __v string")
     return {(r.k, r.d): (r.n2, r.n4, r.avg2) for r in trailing_totals(df, ["k"], "d", "v", (2, 4), **kw).collect()}

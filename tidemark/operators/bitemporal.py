@@ -7,66 +7,132 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.cells import time_cell
+from tidemark.operators.cells import DAY, time_cell
 from tidemark.session import number, table
 
 #: Width of a grid cell in days of recorded time. A key has as many cells as its history has such spans.
 CELL_DAYS = 16
+#: Rectangles of a key in a cell from which on the cell is halved, as often as it takes.
+DENSE = 64
+#: The grid of valid time: spans of 2 to the power of a level days, from FIRST_DAY on; the top level is all of it.
+FIRST_DAY, TOP = -1_000_000, 22
+SPAN = ("entity", "level", "place")
 
 
-def known_rectangles(facts: DataFrame, entity: str, attribute: str, recorded: str, seq: str, value: str, days: int = CELL_DAYS) -> DataFrame:
-    """Disjoint current-version regions of each (entity, attribute), cut at the grid's cells.
+def valid_spans(first: Column, last: Column) -> Column:
+    """Array of (level, place): the fewest spans of the grid that together are the days [first, last), null being open.
 
-    A fact is known from just after `recorded` on and holds for every valid time until a later one replaces it, so its
-    region is the rectangle (rec_from, rec_to] of recorded time over all of valid time; rec_to is null where the cell
-    ends first (the next cell's carried rectangle goes on from there). Of facts recorded at one instant only the
-    greatest seq has a region. Missing values (null, NaN) have regions too: they hide what was known before. Rows
-    without entity, attribute or recorded have none.
+    A span of level k at place i has the 2**k days from FIRST_DAY + i * 2**k on, so there are at most two of a level."""
+    lo = F.greatest(F.coalesce(F.datediff(first, F.lit("1970-01-01").cast("date")) - FIRST_DAY, F.lit(0)), F.lit(0)).cast("long")
+    hi = F.least(F.coalesce(F.datediff(last, F.lit("1970-01-01").cast("date")) - FIRST_DAY, F.lit(1 << TOP)), F.lit(1 << TOP)).cast("long")
+    span = lambda level, place: F.struct(level.cast("int").alias("level"), place.cast("long").alias("place"))
+    none = F.array().cast("array<struct<level:int,place:bigint>>")
 
-    Columns: entity, attribute, cell, rec_from, rec_to (microseconds), seq, value (null if missing).
+    def rise(s: Column, level: Column) -> Column:
+        a, b = s["a"], s["b"]
+        odd = lambda x: (x % 2 == 1) & (a < b)
+        left = F.when(odd(a), F.array(span(level, a))).otherwise(none)
+        right = F.when((b % 2 == 1) & (a + F.when(odd(a), 1).otherwise(0) < b), F.array(span(level, b - 1))).otherwise(none)
+        up_a, up_b = F.floor((a + F.when(a % 2 == 1, 1).otherwise(0)) / 2), F.floor((b - F.when(b % 2 == 1, 1).otherwise(0)) / 2)
+        return F.struct(up_a.cast("long").alias("a"), up_b.cast("long").alias("b"), F.concat(s["got"], left, right).alias("got"))
+
+    start = F.struct(lo.alias("a"), hi.alias("b"), none.alias("got"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TOP)), start, rise, lambda s: s["got"])
+
+
+def known_rectangles(
+    facts: DataFrame, entity: str, attribute: str, recorded: str, seq: str, value: str, days: int = CELL_DAYS,
+    valid_from: str | None = None, valid_to: str | None = None,
+) -> DataFrame:
+    """Disjoint current-version rectangles of each (entity, attribute), cut at the grid's cells.
+
+    A fact is known from just after `recorded` on and holds for the days [valid_from, valid_to) (without end where null,
+    for all time without these columns), until a later one about those days replaces it. The days are cut into spans
+    of the grid of valid time, each of which lies whole within the fact, so the facts of a span replace one another in
+    order of recording: each is current in the rectangle span x (rec_from, rec_to]; rec_to is null where the cell of
+    recorded time ends first (the next cell's carried rectangle goes on from there). Of facts recorded at one instant
+    only the greatest seq has a rectangle. Missing values (null, NaN) have some too: they hide what was known before.
+    Rows without entity, attribute or recorded, or of no day, have none.
+
+    Columns: entity, attribute, level, place, cell, rec_from, rec_to (microseconds), seq, value (null if missing),
+    halvings (of the cell, so that no part of it has many rectangles).
     """
+    everywhere = F.array(F.struct(F.lit(TOP).alias("level"), F.lit(0).cast("long").alias("place")))
+    spans = everywhere if valid_from is None and valid_to is None else valid_spans(*[F.lit(None).cast("date") if c is None else F.to_date(c) for c in (valid_from, valid_to)])
     f = facts.select(
-        F.col(entity).alias("entity"), F.col(attribute).alias("attribute"), F.unix_micros(recorded).alias("rec_from"), F.col(seq).alias("seq"), number(F.col(value)).alias("value")
+        F.col(entity).alias("entity"), F.col(attribute).alias("attribute"), F.unix_micros(recorded).alias("rec_from"), F.col(seq).alias("seq"), number(F.col(value)).alias("value"), spans.alias("spans")
     ).where(F.col("entity").isNotNull() & F.col("attribute").isNotNull() & F.col("rec_from").isNotNull())
-    f = f.withColumn("cell", time_cell(F.col("rec_from"), days))
-    w = Window.partitionBy("entity", "attribute", "cell").orderBy("rec_from", F.col("seq").asc_nulls_first())
-    f = f.withColumn("rec_to", F.lead("rec_from").over(w))
+    f = f.select("entity", "attribute", F.inline("spans"), "rec_from", "seq", "value", time_cell(F.col("rec_from"), days).alias("cell"))
+    f = f.repartition(*SPAN, "cell")  # what follows, and the heads of as_known, are computed where the rows then lie
+    one = Window.partitionBy(*SPAN, "cell", "attribute")
+    f = f.withColumn("rec_to", F.lead("rec_from").over(one.orderBy("rec_from", F.col("seq").asc_nulls_first())))
+    f = f.withColumn("halvings", F.greatest(F.ceil(F.log2(F.count("*").over(one) / F.lit(DENSE))), F.lit(0)).cast("int"))
+    f = f.withColumn("halvings", F.max("halvings").over(Window.partitionBy(*SPAN, "cell")))
     return f.where(F.col("rec_to").isNull() | (F.col("rec_to") > F.col("rec_from")))
 
 
+def _part(t: Column, days: int) -> Column:
+    """Number of the part of the (halved) cell that holds an instant."""
+    width = F.lit(days * DAY)
+    return F.floor((t - F.col("cell") * width) * F.pow(F.lit(2), "halvings") / width).cast("long")
+
+
 def as_known(
     events: DataFrame, event_entity: str, event_time: str, facts: DataFrame, entity: str, attribute: str, recorded: str, seq: str, value: str,
     attributes: Sequence[str], event_id: str, days: int = CELL_DAYS,
+    valid_at: str | None = None, valid_from: str | None = None, valid_to: str | None = None,
 ) -> DataFrame:
     """event_id, attribute, seq, value of the fact current just before each event, for each of the attributes.
 
-    Strict: a fact recorded at the event's instant isn't known yet. Of equal instants the greatest seq is current. A
-    missing value hides older ones and comes out as a row with value null; an event with no fact before it gives no
-    row. Events without entity or time give none; equal events give a row each. Extra columns play no part.
+    Current is, of the facts recorded before event_time that hold on the day valid_at (see known_rectangles; without it
+    all facts hold), the one recorded last. Strict: a fact recorded at the event's instant isn't known yet. Of equal
+    instants the greatest seq is current. A missing value hides older ones and comes out as a row with value null; an
+    event with no fact before it gives no row. Events without entity, time or day give none; equal events give a row
+    each. Extra columns play no part.
 
-    Plan: facts are cut into rectangles within (entity, attribute, cell), a hot entity thus over as many tasks as it
-    has cells. The last rectangle of each cell is carried to the events of later cells by a window over cell heads and
-    events (one row a cell, one an event). Events then meet the rectangles of their own cell in an equi-join on the
-    grid cell; at most one contains the point.
+    Plan: facts are cut into rectangles within (entity, attribute, span of valid time, cell of recorded time), a hot
+    entity thus over as many tasks as it has cells. A table with one row for each cell that has facts or events carries
+    the last rectangle on to later cells, by a window as long as a key's cells. Events then meet the rectangles of their
+    own part of a cell in an equi-join; at most one contains the point, and a part has few however dense the cell is.
     """
-    rect = known_rectangles(facts.where(F.col(attribute).isin(*attributes)), entity, attribute, recorded, seq, value, days)
-    heads = rect.groupBy("entity", "attribute", "cell").agg(F.max_by(F.struct("seq", "value"), F.struct("rec_from", "seq")).alias("head"))
-    points = events.select(F.col(event_id).alias("id"), F.col(event_entity).alias("entity"), F.unix_micros(event_time).alias("t"))
-    points = points.where(F.col("entity").isNotNull() & F.col("t").isNotNull())
-    points = points.withColumn("cell", time_cell(F.col("t"), days)).withColumn("attribute", F.explode(F.array(*[F.lit(a) for a in attributes])))
-    void = F.lit(None)
-    both = heads.select("entity", "attribute", "cell", F.lit(1).alias("side"), void.cast(points.schema["id"].dataType).alias("id"), void.cast("long").alias("t"), "head").unionByName(
-        points.select("entity", "attribute", "cell", F.lit(0).alias("side"), "id", "t", void.cast(heads.schema["head"].dataType).alias("head"))
-    )
-    before = Window.partitionBy("entity", "attribute").orderBy("cell", "side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("head", F.last("head", ignorenulls=True).over(before)).where(F.col("side") == 0)
-    p, r = carried.alias("p"), rect.alias("r")
+    known = facts.where(F.col(attribute).isin(*attributes))
+    rect = known_rectangles(known, entity, attribute, recorded, seq, value, days, valid_from, valid_to)
+    levels = [TOP] if valid_from is None and valid_to is None else sorted(r.level for r in rect.select("level").distinct().collect()) or [TOP]  # at most TOP + 1
+    several = len(levels) > 1
+    names = [f"h{i}" for i in range(len(attributes))]
+    own = lambda a: F.when(F.col("attribute") == a, F.struct("rec_from", "seq"))
+    heads = rect.groupBy(*SPAN, "cell").agg(*[F.max_by(F.struct("rec_from", "seq", "value"), own(a)).alias(n) for a, n in zip(attributes, names)], F.first("halvings").alias("halvings"))
+    p = events.select(F.col(event_id).alias("id"), F.col(event_entity).alias("entity"), F.unix_micros(event_time).alias("t"), (F.lit(FIRST_DAY) if valid_at is None else F.unix_date(F.to_date(valid_at))).alias("day"))
+    p = p.where(F.col("entity").isNotNull() & F.col("t").isNotNull() & F.col("day").isNotNull()).withColumn("cell", time_cell(F.col("t"), days))
+    if several:
+        p = p.groupBy(*p.columns).agg(F.count("*").alias("copies"))
+    place = lambda k: F.floor((F.col("day") - FIRST_DAY) / F.lit(1 << k)).cast("long")
+    p = p.select("*", F.inline(F.array(*[F.struct(F.lit(k).alias("level"), place(k).alias("place")) for k in levels])))
+
+    # What holds where a cell begins, for the cells that have events; a cell's own head comes after its wanted row.
+    wanted = p.select(*SPAN, "cell").distinct().withColumn("has", F.lit(0))
+    both = heads.withColumn("has", F.lit(1)).unionByName(wanted, allowMissingColumns=True)
+    order = Window.partitionBy(*SPAN).orderBy("cell", "has")
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    same = F.lead("cell").over(order) == F.col("cell")
+    cells = both.select(*SPAN, "cell", "has", *[F.last(n, True).over(before).alias(n) for n in names], F.coalesce(F.when(same, F.lead("halvings").over(order)), F.lit(0)).alias("halvings"))
+    p = p.join(cells.where("has = 0").drop("has"), [*SPAN, "cell"]).withColumn("part", _part(F.col("t"), days)).drop("halvings")
+
+    end = F.coalesce("rec_to", (F.col("cell") + 1) * F.lit(days * DAY) - 1)
+    r = rect.where(F.col("rec_from") < end).select(*SPAN, "cell", "attribute", "rec_from", "rec_to", "seq", "value", F.explode(F.sequence(_part(F.col("rec_from") + 1, days), _part(end, days))).alias("part"))
+    grid = [*SPAN, "cell", "part"]
+    p = p.repartition(*grid).withColumn("row", F.monotonically_increasing_id()).alias("p")  # of use only within the stage that makes it
+    r = r.alias("r")
     inside = (F.col("r.rec_from") < F.col("p.t")) & (F.col("r.rec_to").isNull() | (F.col("p.t") <= F.col("r.rec_to")))
-    same = [F.col(f"p.{c}") == F.col(f"r.{c}") for c in ("entity", "attribute", "cell")]
-    found = p.join(r, [*same, inside], "left")
-    hit = F.when(F.col("r.rec_from").isNotNull(), F.struct("r.seq", "r.value")).otherwise(F.col("p.head"))
-    found = found.select(F.col("p.id").alias(event_id), F.col("p.attribute").alias("attribute"), hit.alias("hit")).where(F.col("hit").isNotNull())
-    return found.select(event_id, "attribute", F.col("hit.seq").alias("seq"), F.col("hit.value").alias("value"))
+    found = p.join(r, [*[F.col(f"p.{c}") == F.col(f"r.{c}") for c in grid], inside], "left")
+    hits = [F.coalesce(F.max(F.when(F.col("r.attribute") == a, F.struct("r.rec_from", "r.seq", "r.value"))), F.first(f"p.{n}")) for a, n in zip(attributes, names)]
+    found = found.groupBy(*[f"p.{c}" for c in grid], "p.row").agg(*[F.first(f"p.{c}").alias(c) for c in ("id", "t", "day", *(["copies"] if several else []))], *[h.alias(n) for h, n in zip(hits, names)])
+    hit = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(n).alias("hit")) for a, n in zip(attributes, names)])).alias("x")
+    found = found.select("entity", "id", "t", "day", *(["copies"] if several else []), hit).select("*", "x.*").where(F.col("hit").isNotNull())
+    if several:  # a day lies in a span of each level; the fact recorded last counts
+        found = found.groupBy("id", "entity", "t", "day", "attribute", "copies").agg(F.max_by("hit", F.struct("hit.rec_from", "hit.seq")).alias("hit"))
+        found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return found.select(F.col("id").alias(event_id), "attribute", F.col("hit.seq").alias("seq"), F.col("hit.value").alias("value"))
 
 
 FEATURES = ("size_log", "rev_growth", "guidance_tone")
@@ -79,8 +145,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(F.col("value").isNotNull()).select("panel_id", F.col("attribute").alias("feature"), "seq")
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the observations about the quarter that the decision falls in (the 92 days from period_end on), the one recorded last before it."""
+    o = table(spark, sf_dir, "observations").select("entity_id", "feature", "available_at", "seq", "obs_value", "period_end", F.date_add("period_end", 92).alias("over"))
+    d = table(spark, sf_dir, "panel").select("entity_id", "decision_time", "panel_id", F.expr("date_from_unix_date(cast(floor(unix_micros(decision_time) / 86400000000) as int))").alias("day"))
+    got = as_known(
+        d, "entity_id", "decision_time", o, "entity_id", "feature", "available_at", "seq", "obs_value", FEATURES, "panel_id",
+        valid_at="day", valid_from="period_end", valid_to="over",
+    )
+    return got.where(F.col("value").isNotNull()).select("panel_id", F.col("attribute").alias("feature"), "seq")
+
+
+QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid}
 SQL = {
+    "p2_valid": """
+        WITH o AS (SELECT *, epoch_us(available_at) AS at, CASE WHEN obs_value IS NULL OR isnan(obs_value) THEN 1 ELSE 0 END AS missing FROM observations
+                   WHERE feature IN ('size_log', 'rev_growth', 'guidance_tone') AND entity_id IS NOT NULL AND available_at IS NOT NULL),
+        j AS (SELECT p.panel_id, o.feature, arg_max(o.seq, {'a': o.at, 's': o.seq}) AS seq, arg_max(o.missing, {'a': o.at, 's': o.seq}) AS missing
+              FROM panel p JOIN o ON o.entity_id = p.entity_id AND o.available_at < p.decision_time
+                   AND (o.period_end IS NULL OR (o.period_end <= CAST(timezone('UTC', p.decision_time) AS DATE) AND CAST(timezone('UTC', p.decision_time) AS DATE) < o.period_end + 92))
+              GROUP BY ALL)
+        SELECT panel_id, feature, seq FROM j WHERE missing = 0""",
     "p2_found": """
         WITH o AS (SELECT entity_id, feature, available_at, max(seq) AS seq, arg_max(CASE WHEN obs_value IS NULL OR isnan(obs_value) THEN 1 ELSE 0 END, seq) AS missing
                    FROM observations WHERE feature IN ('size_log', 'rev_growth', 'guidance_tone') AND entity_id IS NOT NULL AND available_at IS NOT NULL GROUP BY ALL),
