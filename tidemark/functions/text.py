@@ -11,6 +11,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import let
+
 KINDS = ("choice", "scale", "yes_no", "probability")
 
 
@@ -81,9 +83,11 @@ class Reader(Protocol):
     def answers(self, docs: DataFrame, text: str, questions: QuestionSet) -> DataFrame: ...
 
 
-def _first_at(text: Column, pattern: str) -> Column:
-    """Position of the first match, 0 without one."""
-    return F.regexp_instr(text, F.lit(f"(?i){pattern}"))
+def _found(text: Column, pattern: str) -> Column:
+    """struct(n, at, e): number of matches, place and text of the first; each pattern runs once over a text without any."""
+    p = f"(?i){pattern}"
+    at = lambda m: F.when(F.size(m) > 0, F.regexp_instr(text, F.lit(p))).otherwise(0)
+    return let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m: F.struct((-F.size(m)).alias("n"), at(m).alias("at"), F.get(m, F.lit(0)).alias("e")))
 
 
 def keyword_answer(text: Column, q: Question) -> Column:
@@ -94,20 +98,26 @@ def keyword_answer(text: Column, q: Question) -> Column:
     text reads as empty."""
     t = F.coalesce(text, F.lit(""))
     if q.kind in ("yes_no", "probability"):
-        hit = F.regexp_extract(t, f"(?i){q.patterns['yes']}", 0)
-        p = F.when(hit != "", 0.9).otherwise(0.1)
-        return F.struct(F.create_map(F.lit("yes"), p).alias("probs"), p.alias("value"), F.nullif(hit, F.lit("")).alias("evidence"))
+
+        def yes(hit: Column) -> Column:
+            p = F.when(hit != "", 0.9).otherwise(0.1)
+            return F.struct(F.create_map(F.lit("yes"), p).alias("probs"), p.alias("value"), F.nullif(hit, F.lit("")).alias("evidence"))
+
+        return let(F.regexp_extract(t, f"(?i){q.patterns['yes']}", 0), yes)
     keys = q.keys()
-    order = [F.struct((-F.regexp_count(t, F.lit(f"(?i){q.patterns[k]}"))).alias("n"), _first_at(t, q.patterns[k]).alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k"), F.regexp_extract(t, f"(?i){q.patterns[k]}", 0).alias("e")) for i, k in enumerate(keys) if k in q.patterns]
-    best = F.array_min(F.array(*order))
-    found = best["n"] < 0
     fallback = q.default or ("2" if q.kind == "scale" else None)
-    top = F.when(found, best["k"]).otherwise(F.lit(fallback))
-    mass = F.when(found, F.lit(0.9)).otherwise(F.lit(0.6 if fallback else 1 / len(keys)))
-    prob = lambda k: F.when(top == k, mass).otherwise((1 - mass) / (len(keys) - 1)) if fallback else F.when(found & (top == k), mass).when(found, (1 - mass) / (len(keys) - 1)).otherwise(1 / len(keys))
-    probs = F.create_map(*[x for k in keys for x in (F.lit(k), prob(k))])
-    value = sum(([F.lit(float(k)) * prob(k) for k in keys]), F.lit(0.0)) if q.kind == "scale" else F.lit(None).cast("double")
-    return F.struct(probs.alias("probs"), value.alias("value"), F.when(found, best["e"]).alias("evidence"))
+
+    def answer(best: Column) -> Column:
+        found = best["n"] < 0
+        top = F.when(found, best["k"]).otherwise(F.lit(fallback))
+        mass = F.when(found, F.lit(0.9)).otherwise(F.lit(0.6 if fallback else 1 / len(keys)))
+        prob = lambda k: F.when(top == k, mass).otherwise((1 - mass) / (len(keys) - 1)) if fallback else F.when(found & (top == k), mass).when(found, (1 - mass) / (len(keys) - 1)).otherwise(1 / len(keys))
+        probs = F.create_map(*[x for k in keys for x in (F.lit(k), prob(k))])
+        value = sum(([F.lit(float(k)) * prob(k) for k in keys]), F.lit(0.0)) if q.kind == "scale" else F.lit(None).cast("double")
+        return F.struct(probs.alias("probs"), value.alias("value"), F.when(found, best["e"]).alias("evidence"))
+
+    seen = lambda i, k: let(_found(t, q.patterns[k]), lambda f: F.struct(f["n"].alias("n"), f["at"].alias("at"), F.lit(i).alias("i"), F.lit(k).alias("k"), f["e"].alias("e")))
+    return let(F.array_min(F.array(*[seen(i, k) for i, k in enumerate(keys) if k in q.patterns])), answer)
 
 
 class KeywordReader:
@@ -195,32 +205,44 @@ def sentences(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"([.!?])[ \t\n\r]+", "$1\u0001"), "\u0001")
 
 
+def grams_of(text: Column) -> Column:
+    """Every three words in a row within a sentence, each once."""
+    words = F.transform(sentences(F.lower(text)), lambda s: F.regexp_extract_all(s, F.lit("[a-z][a-z-]*"), F.lit(0)))
+    some = F.filter(words, lambda w: F.size(w) >= 3)
+    return F.array_distinct(F.flatten(F.transform(some, lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.concat_ws(" ", F.slice(w, i, 3))))))
+
+
 def trigrams(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """id, gram: every three words in a row within a sentence, once a document."""
-    s = docs.select(id_, F.explode(sentences(F.col(text))).alias("s"))
-    w = s.select(id_, F.regexp_extract_all(F.lower("s"), F.lit("[a-z][a-z-]*"), F.lit(0)).alias("w")).where(F.size("w") >= 3)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.concat_ws(" ", F.slice("w", i, 3)))
-    return w.select(id_, F.explode(F.array_distinct(grams)).alias("gram")).distinct()
+    """id, gram: the trigrams of each row, once a row."""
+    return docs.select(id_, F.explode(grams_of(F.col(text))).alias("gram"))
 
 
 def phrase_lift(docs: DataFrame, id_: str, text: str, target: str, least: float) -> DataFrame:
-    """gram, inside, outside, lift: share of target documents less share of others."""
-    n = docs.agg(F.count(F.when(F.col(target), 1)).alias("__i"), F.count(F.when(~F.col(target), 1)).alias("__o"))
-    g = trigrams(docs, id_, text).join(docs.select(id_, target), id_)
+    """gram, inside, outside, lift: share of target documents less share of others; every row is a document.
+
+    One pass and one shuffle: the totals are counted under a gram of their own, the empty one."""
+    g = docs.select(target, F.explode(F.concat(F.coalesce(grams_of(F.col(text)), F.array().cast("array<string>")), F.array(F.lit("")))).alias("gram"))
     g = g.groupBy("gram").agg(F.count(F.when(F.col(target), 1)).alias("i"), F.count(F.when(~F.col(target), 1)).alias("o"))
-    g = g.join(F.broadcast(n)).select("gram", (F.col("i") / F.nullif("__i", F.lit(0))).alias("inside"), (F.col("o") / F.nullif("__o", F.lit(0))).alias("outside"))  # one row
+    n = g.where("gram = ''").select(F.col("i").alias("__i"), F.col("o").alias("__o"))
+    g = g.where("gram <> ''").join(F.broadcast(n)).select("gram", (F.col("i") / F.nullif("__i", F.lit(0))).alias("inside"), (F.col("o") / F.nullif("__o", F.lit(0))).alias("outside"))  # one row
     return g.withColumn("lift", F.coalesce("inside", F.lit(0.0)) - F.coalesce("outside", F.lit(0.0))).where(F.col("lift") > least)
 
 
-def page_text(html: Column, cap: int = 100_000) -> Column:
-    """Text of a page: scripts, tags and entities out, white space single, signature block cut, at most cap characters."""
+def page_text(html: Column, cap: int | None = None) -> Column:
+    """Text of a page: scripts, tags and entities out, white space single, signature block cut; at most cap characters if given."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     for entity, plain in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         t = F.replace(t, F.lit(entity), F.lit(plain))
     t = F.trim(F.regexp_replace(t, r"[ \t\n\r\f]+", " "))
-    t = F.regexp_replace(t, r"(?s)SIGNATURES? .*$", "")
-    return F.substring(F.trim(t), 1, cap)
+    t = F.trim(F.regexp_replace(t, r"(?s)SIGNATURES? .*$", ""))
+    return t if cap is None else F.substring(t, 1, cap)
+
+
+def section_cut(text: Column) -> Column:
+    """The text from its first numbered item on ("Item 2.02"), so without the cover of a filing; whole without any."""
+    at = F.regexp_instr(text, F.lit(r"(?i)\bitem\s+\d+\.\d+"))
+    return F.when(at > 0, F.substr(text, at)).otherwise(text)
 
 
 def expected_previous(df: DataFrame, x: str, by: Sequence[str], order: Sequence[str], k: int, least: int) -> DataFrame:

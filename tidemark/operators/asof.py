@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
+from tidemark.operators.cells import DAY, carried, equal_keys, time_cell
+
+#: Days of a cell of time.
+CELL_DAYS = 32
 
 
 def asof(
@@ -18,7 +21,10 @@ def asof(
 
     Strict unless inclusive. Of right rows at one instant the greatest seq counts (the least, forward). A null value
     masks older ones: the row still counts as found. With max_age_days a row too old gives nulls. Keys join null-safe
-    as groups. One shuffle by keys for both sides.
+    as groups.
+
+    Plan: one shuffle of both sides by keys and cell of time, so a hot key is as many tasks as it has cells; what a
+    cell begins with comes from a table of one row a cell.
     """
     names = [c for c in left.columns if c not in (*values, provenance)]
     pair = F.struct(F.col(right_time).alias("t"), *[F.col(v) for v in values])
@@ -26,10 +32,14 @@ def asof(
     r = right.where(F.col(right_time).isNotNull()).select(*keys, F.unix_micros(right_time).alias("__t"), F.lit(side).alias("__side"), F.col(seq).cast("long").alias("__seq"), pair.alias("__hit"))
     kind = r.schema["__hit"].dataType
     l = left.select(*keys, F.unix_micros(left_time).alias("__t"), F.lit(1 - side).alias("__side"), F.lit(None).cast("long").alias("__seq"), F.lit(None).cast(kind).alias("__hit"), F.struct(*names).alias("__left"))  # noqa: E741
-    both = r.withColumn("__left", F.lit(None).cast(l.schema["__left"].dataType)).unionByName(l)
+    both = r.withColumn("__left", F.lit(None).cast(l.schema["__left"].dataType)).unionByName(l).withColumn("__cell", F.coalesce(time_cell(F.col("__t"), CELL_DAYS), F.lit(-(1 << 62))))
     order = ["__t", "__side", "__seq"]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() if forward else F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__hit", F.last("__hit", True).over(w)).where(F.col("__left").isNotNull())
+    w = Window.partitionBy(*keys, "__cell").orderBy(*[F.col(c).desc() if forward else F.col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.when(F.col("__hit").isNotNull(), F.struct("__t", "__seq"))
+    edge = carried(both, keys, "__cell", [(F.min_by if forward else F.max_by)("__hit", at)], ["__edge"], forward).alias("__e")
+    got = both.withColumn("__hit", F.last("__hit", True).over(w)).where(F.col("__left").isNotNull()).alias("__b")
+    got = got.join(edge, equal_keys("__b", "__e", [*keys, "__cell"]), "left")
+    got = got.select("__b.__left", "__b.__t", F.coalesce("__b.__hit", F.when(F.col("__b.__t").isNotNull(), F.col("__e.__edge"))).alias("__hit"))
     if max_age_days is not None:
         age = F.abs(F.col("__t") - F.unix_micros("__hit.t"))
         got = got.withColumn("__hit", F.when(age <= int(max_age_days * DAY), F.col("__hit")))
@@ -39,22 +49,24 @@ def asof(
 def attach(
     panel: DataFrame, entity: str, time: str, obs: DataFrame, feature: str, value: str, known: str, seq: str, features: Sequence[str], max_age_days: float | None = None,
 ) -> DataFrame:
-    """panel with x_<f> and at_<f> of each feature: all features in one strict as-of pass, one shuffle by entity."""
-    cols = []
+    """panel with x_<f> and at_<f> of each feature: all features in one strict as-of pass.
+
+    Plan: as asof, by entity and cell of time."""
     o = obs.where(F.col(feature).isin(*features) & F.col(known).isNotNull())
     side = o.select(F.col(entity), F.unix_micros(known).alias("__t"), F.lit(1).alias("__side"), F.col(seq).alias("__seq"), F.col(feature).alias("__f"), F.struct(F.col(known).alias("at"), F.col(value).alias("x")).alias("__o"))
     p = panel.select(entity, F.unix_micros(time).alias("__t"), F.lit(0).alias("__side"), F.struct(*panel.columns).alias("__p"))
-    both = side.unionByName(p, allowMissingColumns=True)
-    w = Window.partitionBy(entity).orderBy("__t", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    for f in features:
-        hit = F.last(F.when(F.col("__f") == f, F.col("__o")), True).over(w)
-        cols.append(hit.alias(f"__h_{f}"))
-    got = both.select("__t", "__p", *cols).where(F.col("__p").isNotNull())
-    out = [F.col("__p.*")]
-    for f in features:
-        h = F.col(f"__h_{f}")
+    both = side.unionByName(p, allowMissingColumns=True).withColumn("__cell", F.coalesce(time_cell(F.col("__t"), CELL_DAYS), F.lit(-(1 << 62))))
+    w = Window.partitionBy(entity, "__cell").orderBy("__t", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda f: F.when(F.col("__f") == f, F.col("__o"))
+    names = [f"__h{i}" for i in range(len(features))]
+    edge = carried(both, [entity], "__cell", [F.max_by(own(f), F.when(F.col("__f") == f, F.struct("__t", "__seq"))) for f in features], names).alias("__e")
+    got = both.select(entity, "__cell", "__t", "__p", *[F.last(own(f), True).over(w).alias(n) for f, n in zip(features, names)]).where(F.col("__p").isNotNull()).alias("__b")
+    got = got.join(edge, equal_keys("__b", "__e", [entity, "__cell"]), "left")
+    out = [F.col("__b.__p.*")]
+    for f, n in zip(features, names):
+        h = F.coalesce(f"__b.{n}", F.when(F.col("__b.__t").isNotNull(), F.col(f"__e.{n}")))
         if max_age_days is not None:
-            h = F.when(F.col("__t") - F.unix_micros(h["at"]) <= int(max_age_days * DAY), h)
+            h = F.when(F.col("__b.__t") - F.unix_micros(h["at"]) <= int(max_age_days * DAY), h)
         out += [h["x"].alias(f"x_{f}"), h["at"].alias(f"at_{f}")]
     return got.select(*out)
 

@@ -20,7 +20,10 @@ def cohort_paths(members: DataFrame, returns: DataFrame, cohort: str, name: str,
     grid = spans.join(F.broadcast(days), (F.col(day) > F.col("__a")) & (F.col(day) <= F.col("__b"))).select(cohort, day, "__n")  # trading days, a few thousand
     g = grid.join(m, cohort).where(F.col("__end").isNull() | (F.col(day) <= F.col("__end"))).join(returns.select(name, day, F.col(r).alias("__r")), [name, day], "left")
     w = Window.partitionBy(cohort, name).orderBy(day)
-    path = F.aggregate(F.collect_list(F.coalesce("__r", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0), lambda a, x: a * (1 + x))
+    so_far, step = w.rowsBetween(Window.unboundedPreceding, 0), 1 + F.coalesce("__r", F.lit(0.0))
+    logs = F.sum(F.when(step != 0, F.ln(F.abs(F.nullif(step, F.lit(0.0)))))).over(so_far)  # a running product
+    gone, turned = F.max((step == 0).cast("int")).over(so_far), F.sum((step < 0).cast("int")).over(so_far)
+    path = F.when(gone == 1, 0.0).otherwise(F.exp(F.coalesce(logs, F.lit(0.0))) * F.when(turned % 2 == 1, -1.0).otherwise(1.0))
     g = g.withColumn("__u", (1 - F.col(cost_in)) * path)
     g = g.withColumn("__u0", F.coalesce(F.lag("__u").over(w), F.lit(1.0))).withColumn("__out", F.when(F.col(day) == F.col(exit_), F.col("__u") * F.col(cost_out)).otherwise(0.0))
     return grid.select(cohort, day).distinct().join(g.groupBy(cohort, day).agg((F.sum(F.col("__u") - F.col("__out")) / F.nullif(F.sum("__u0"), F.lit(0.0)) - 1).alias("r")), [cohort, day], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import totals_before, value_cell
 from tidemark.operators.ranks import pct_rank
 from tidemark.operators.scoring import correlation
 
@@ -47,10 +48,10 @@ def auc(df: DataFrame, score: str, y: str) -> DataFrame:
 def _global_ranks(d: DataFrame, score: str, y: str) -> DataFrame:
     """y, __n, __r: counts by distinct score and class, with the score's average rank over the table.
 
-    Only distinct scores meet in one window, after a combine."""
-    per = d.groupBy(score).agg(F.count("*").alias("__c"))
-    below = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("__r", F.coalesce(F.sum("__c").over(below), F.lit(0)) + (F.col("__c") + 1) / 2).drop("__c")
+    Distinct scores are counted first; their running counts are taken over cells of scores."""
+    per = d.groupBy(score).agg(F.count("*").alias("__c")).withColumn("__below", F.col("__c")).withColumn("__cell", value_cell(F.col(score).cast("double")))
+    per = totals_before(per, [], "__cell", score, ["__below"])
+    per = per.select(score, (F.col("__below") + (F.col("__c") + 1) / 2).alias("__r"))
     return d.groupBy(score, y).agg(F.count("*").alias("__n")).join(per, score).select(y, "__n", "__r")
 
 

@@ -115,12 +115,19 @@ def schedule_table(spark: SparkSession, times: Sequence[datetime]) -> DataFrame:
     return spark.createDataFrame([(t,) for t in times], "decision_time timestamp")
 
 
+#: Microseconds of a cell in which bars and decisions meet.
+UNIVERSE_CELL = 32 * 86_400_000_000
+
+
 def universe(schedule_: DataFrame, bars: DataFrame, entity: str, close_at: str, max_stale_days: int, group: str | None = None) -> DataFrame:
     """decision_time, entity, grp of the names whose last bar closed before the decision and isn't stale. (L4)
 
-    The schedule is short (a few hundred instants), and broadcast."""
+    Each bar is looked up in the cells of time in which it may be a name's last, so bars and decisions meet by equal cells."""
     until = F.unix_micros("decision_time")
     b = bars.select(entity, F.unix_micros(close_at).alias("__t"), (F.col(group) if group else F.lit("all")).alias("grp"))
     b = b.withColumn("__next", F.coalesce(F.lead("__t").over(Window.partitionBy(entity).orderBy("__t")), F.lit(2**62)))
     live = (F.col("__t") < until) & (until <= F.col("__next")) & (until - F.col("__t") <= max_stale_days * 86_400_000_000)
-    return b.join(F.broadcast(schedule_), live).select("decision_time", entity, "grp")
+    cell = lambda c: F.floor(c / F.lit(UNIVERSE_CELL))
+    last = F.least(F.col("__next"), F.col("__t") + F.lit(max_stale_days * 86_400_000_000))
+    b = b.withColumn("__cell", F.explode(F.sequence(cell(F.col("__t")), cell(last))))
+    return b.join(schedule_.withColumn("__cell", cell(until)), "__cell").where(live).select("decision_time", entity, "grp")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import equal_keys, exact_quantiles
+
 
 def pct_rank(x: str, by: Sequence[str]) -> Column:
     """Average-tie percentile rank in (0, 1] of the non-null x within `by`; null where x is null."""
@@ -28,9 +30,9 @@ def demean(x: str, by: Sequence[str]) -> Column:
 
 def winsorized(df: DataFrame, x: str, by: str, low: float, high: float) -> Column | DataFrame:
     """df with x clipped to its exact quantiles within `by`; null stays null."""
-    q = df.groupBy(by).agg(F.percentile(x, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    q = exact_quantiles(df, x, [by], [low, high], "__q")
     x_ = F.col(x)
-    return df.join(q, by).withColumn(x, F.when(x_.isNotNull(), F.greatest(F.least(x_, F.col("__q")[1]), F.col("__q")[0]))).drop("__q")
+    return df.alias("__d").join(q.alias("__k"), equal_keys("__d", "__k", [by]), "left").select("__d.*", "__q").withColumn(x, F.when(x_.isNotNull(), F.greatest(F.least(x_, F.col("__q")[1]), F.col("__q")[0]))).drop("__q")
 
 
 def rank_target(df: DataFrame, x: str, period: str, group: str | None = None) -> DataFrame:

@@ -8,15 +8,16 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import exact_quantiles
 from tidemark.operators.ranks import demean, pct_rank
 
 
 def fill_costs(df: DataFrame, cost: str = "rt_cost") -> DataFrame:
-    """Unknown costs as the median over all rows."""
+    """Unknown costs as the exact median over all rows; NaN is unknown too."""
     if cost not in df.columns:
         raise ValueError(f"no column {cost}")
-    m = df.agg(F.median(cost).alias("__m"))
-    return df.join(F.broadcast(m)).withColumn(cost, F.coalesce(cost, "__m")).drop("__m")  # one row
+    m = exact_quantiles(df, cost, [], [0.5], "__m")
+    return df.join(F.broadcast(m), how="left").withColumn(cost, F.coalesce(F.nanvl(F.col(cost).cast("double"), F.lit(None).cast("double")), F.col("__m")[0])).drop("__m")  # one row
 
 
 def correlation(x: str, y: str) -> Column:

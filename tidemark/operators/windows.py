@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
+from tidemark.operators.cells import DAY, time_cell, totals_before
+
+#: Days of a cell of time.
+CELL_DAYS = 32
 
 
 def prior_mean(x: str, by: Sequence[str], order: Sequence[str], k: int, least: int) -> Column:
@@ -51,9 +54,21 @@ def change_points(events: DataFrame, keys: Sequence[str], at: str, weight: Colum
     return at_once.select(*keys, "at", F.sum("n").over(w).alias("n"), F.sum("total").over(w).alias("total"))
 
 
-def _so_far(x: Column, keys: Sequence[str], micros: str, lag: int) -> tuple[Column, Column]:
-    w = Window.partitionBy(*keys).orderBy(micros).rangeBetween(Window.unboundedPreceding, -(lag + 1))
-    return F.count(x).over(w), F.coalesce(F.sum(x).over(w), F.lit(0.0))
+def _so_far(d: DataFrame, keys: Sequence[str], lag: int, i: int) -> DataFrame:
+    """d with __n<i>, __s<i>: number and sum of the __x with the same keys whose __t, lag later, is still earlier.
+
+    Instants are added up first; their running totals are taken over cells of time, whatever the key holds."""
+    n, s = f"__n{i}", f"__s{i}"
+    ok = F.col("__t").isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
+    x = F.col("__x")
+    adds = d.where(ok).select(*keys, (F.col("__t") + lag).alias("__at"), x.isNotNull().cast("long").alias(n), F.coalesce(x, F.lit(0.0)).alias(s), F.lit(False).alias("__asks"))
+    asks = d.where(ok).select(*keys, F.col("__t").alias("__at"), F.lit(0).cast("long").alias(n), F.lit(0.0).alias(s), F.lit(True).alias("__asks"))
+    line = (adds.unionByName(asks) if lag else adds.withColumn("__asks", F.lit(True))).groupBy(*keys, "__at").agg(F.sum(n).alias(n), F.sum(s).alias(s), F.max("__asks").alias("__asks"))
+    line = totals_before(line.withColumn("__cell", time_cell(F.col("__at"), CELL_DAYS)), keys, "__cell", "__at", [n, s]).where("__asks")
+    line = line.select(*keys, F.col("__at").alias("__t"), n, s)
+    return d.join(line, [*keys, "__t"], "left").withColumns({n: F.coalesce(n, F.lit(0)), s: F.coalesce(s, F.lit(0.0))})
 
 
 def shrunk_means(df: DataFrame, x: str, at: str, levels: Sequence[Sequence[str]], strength: float, lag_days: float = 0, out: str = "mean", prior: float = 0.0, truth: Column | None = None) -> DataFrame:
@@ -62,21 +77,15 @@ def shrunk_means(df: DataFrame, x: str, at: str, levels: Sequence[Sequence[str]]
     mean_L = (sum + k * parent) / (n + k); the first parent is `prior`; null while no level has data. A tie block reads
     before it adds. A level whose key is null or blank has nothing and adds nothing. truth replaces x, for hit rates."""
     value = F.col(x) if truth is None else truth
-    d = df.withColumn("__t", F.unix_micros(at)).withColumn("__x", value)
-    lag = int(lag_days * DAY)
+    d = df.withColumn("__t", F.unix_micros(at)).withColumn("__x", value.cast("double"))
     for i, keys in enumerate(levels):
-        ok = F.lit(True)
-        for k in keys:
-            ok = ok & F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != "")
-        n, s = _so_far(F.when(ok, F.col("__x")), keys or [F.lit(0)], "__t", lag)
-        d = d.withColumn(f"__n{i}", F.when(ok, n).otherwise(0)).withColumn(f"__s{i}", F.when(ok, s).otherwise(0.0))
+        d = _so_far(d, list(keys), int(lag_days * DAY), i)
     mean, seen = F.lit(float(prior)), F.lit(0)
     for i in range(len(levels)):
         n, s = F.col(f"__n{i}"), F.col(f"__s{i}")
         mean = F.when(n > 0, (s + strength * mean) / (n + strength)).otherwise(mean)
         seen = seen + n
-    drop = ["__t", "__x", *[f"__{a}{i}" for i in range(len(levels)) for a in "ns"]]
-    return d.withColumn(out, F.when(seen > 0, mean)).drop(*drop)
+    return d.select(*df.columns, F.when(seen > 0, mean).alias(out)) if out not in df.columns else d.withColumn(out, F.when(seen > 0, mean)).select(*df.columns)
 
 
 def surprise(df: DataFrame, x: str, at: str, levels: Sequence[Sequence[str]], strength: float) -> DataFrame:

@@ -249,7 +249,7 @@ SQL = {
         a AS (SELECT *, CASE WHEN name IS NOT NULL THEN replace(text, name, 'COMPANY') ELSE text END AS x FROM t), b AS (SELECT *, CASE WHEN code IS NOT NULL AND regexp_matches(code, '^[A-Za-z0-9]+$') THEN regexp_replace(x, '(^|[^A-Za-z0-9])' || code || '($|[^A-Za-z0-9])', '\\1TICKER\\2', 'g') ELSE x END AS y FROM a)
         SELECT doc_id, md5(CASE WHEN coalesce(length({_FW}), 0) >= 4 THEN regexp_replace(y, '(?i)(^|[^A-Za-z0-9])' || {_FW} || '($|[^A-Za-z0-9])', '\\1COMPANY\\2', 'g') ELSE y END) AS masked FROM b""",
     "page_text": """WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS t FROM a) SELECT doc_id, md5(substr(trim(regexp_replace(t, '(?s)SIGNATURES? .*$', ''), ' '), 1, 100000)) AS plain FROM b""",
+        b AS (SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') AS t FROM a) SELECT doc_id, md5(trim(regexp_replace(t, '(?s)SIGNATURES? .*$', ''), ' ')) AS plain FROM b""",
     "trigram_lift": f"""WITH d AS (SELECT doc_id, text, doc_type = 'filing_card' AS target FROM documents WHERE text IS NOT NULL AND doc_type IS NOT NULL), n AS (SELECT count(*) FILTER (target) AS i, count(*) FILTER (NOT target) AS o FROM d),
         s AS (SELECT doc_id, target, unnest(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM d), w AS (SELECT doc_id, target, regexp_extract_all(lower(s), '[a-z][a-z-]*') AS w FROM s),
         g AS (SELECT DISTINCT doc_id, target, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS gram FROM w WHERE len(w) >= 3),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,11 @@ def held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body of a value that is computed once, however often the body reads it; for use where held can't be."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number(c: Column) -> Column:
     """NaN counts as missing, -0.0 equals 0.0."""
     return F.when(~F.isnan(c), c + F.lit(0.0))
