@@ -199,7 +199,7 @@ def test_bad_prints_and_replayed_answers(spark):
     assert one.select(X.residual_names(F.col("t"), F.lit("Acme Corp Ltd")).alias("r")).first().r == ["acme", "corp"]
     assert one.select(X.alternative_mask(F.lit("COMPANY x")).alias("m")).first().m == "THE FIRM x"
     lo, hi = grading.bootstrap({str(i): np.array([float(i)]) for i in range(50)}, np.mean, 200)
-    assert lo < 24.5 < hi and grading.summary_score({"A": 1, "B": 1, "C": 1, "D": 1, "E": 1}) == pytest.approx(1.0)
+    assert lo < 24.5 < hi and grading.summary_score(1, 1, {"r2": 1, "react": 1, "drift": 1}, 1)["S"] == pytest.approx(1.0)
 
 
 def test_streams(spark, tmp_path):

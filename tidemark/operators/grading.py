@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.cells import totals_before, value_cell
 from tidemark.operators.ranks import pct_rank
+from tidemark.operators.ridge import Grams, out_of_fold
 from tidemark.operators.scoring import correlation
 
 
@@ -69,13 +70,43 @@ def coverage(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def stable(a: Column, b: Column, kind: str) -> Column:
-    """Whether two readings of one thing agree: 0.1 for a probability, half a level for a scale."""
-    return F.abs(a - b) <= {"probability": 0.1, "yes_no": 0.1, "scale": 0.5}[kind]
+    """Whether two readings of one thing agree: nearer than 0.1 for a probability, than half a level for a scale."""
+    return F.abs(a - b) < {"probability": 0.1, "yes_no": 0.1, "scale": 0.5}[kind]
 
 
-def moved(before: Column, after: Column, up: bool, others_held: Column, least: float = 0.1) -> Column:
-    """A counterfactual passes if its target moves the right way and nine tenths of the others hold."""
-    return ((after - before) * (1 if up else -1) >= least) & (others_held >= 0.9)
+def stable_choice(a: Column, b: Column) -> Column:
+    """Whether two distributions (maps) over options agree: total variation under 0.1."""
+    keys = F.array_union(F.map_keys(a), F.map_keys(b))
+    gap = F.aggregate(keys, F.lit(0.0), lambda s, k: s + F.abs(F.coalesce(a[k], F.lit(0.0)) - F.coalesce(b[k], F.lit(0.0))))
+    return 0.5 * gap < 0.1
+
+
+def invariance(pairs: DataFrame, held: str, by: Sequence[str] = ()) -> DataFrame:
+    """by, n, share of the answers to a text and to its probe that held still; pairs without both answers don't count."""
+    return pairs.where(F.col(held).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(held).cast("double")).alias("share"))
+
+
+def moved(before: Column, after: Column, up: bool, kind: str, others: Sequence[Column]) -> Column:
+    """A counterfactual passes if its target moves the right way, by 0.1 or half a level, and nine tenths of the other
+    answers hold; null answers fail. (G7)"""
+    least = {"probability": 0.1, "yes_no": 0.1, "scale": 0.5}[kind]
+    step = (after - before) * (1 if up else -1) >= least - 1e-12
+    held = sum((F.coalesce(o, F.lit(False)).cast("double") for o in others), F.lit(0.0)) / len(others) if others else F.lit(1.0)
+    return F.coalesce(step, F.lit(False)) & (held >= 0.9)
+
+
+def identification_gate(guesses: DataFrame, probs: str, truth: str, most: float = 0.05) -> DataFrame:
+    """n, accuracy, chance, excess, z, passed: whether masked names are guessed better than by chance.
+
+    probs maps candidates to probabilities; a truth tied at the top among k has 1/k; no candidates is a miss."""
+    top = F.array_max(F.map_values(probs))
+    tied = F.filter(F.map_entries(probs), lambda e: e["value"] == top)
+    hit = F.when(F.exists(tied, lambda e: e["key"] == F.col(truth)), 1.0 / F.size(tied)).otherwise(0.0)
+    chance = 1.0 / F.greatest(F.size(F.map_keys(probs)), F.lit(1))
+    d = guesses.agg(F.count("*").alias("n"), F.avg(F.coalesce(hit, F.lit(0.0))).alias("accuracy"), F.avg(chance).alias("chance"))
+    d = d.withColumn("excess", F.col("accuracy") - F.col("chance"))
+    se = F.sqrt(F.col("chance") * (1 - F.col("chance")) / F.greatest("n", F.lit(1)))
+    return d.withColumn("z", F.when(se > 0, F.col("excess") / F.nullif(se, F.lit(0.0)))).withColumn("passed", F.col("excess") <= most)
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
@@ -83,9 +114,32 @@ def spearman(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame:
     return d.groupBy(*by).agg(F.count("*").alias("n"), correlation("__a", "__b").alias("rho"))
 
 
-def summary_score(parts: dict[str, float], weights=(0.30, 0.25, 0.30, 0.10, 0.05)) -> float:
-    """Weighted sum of the five grades, each capped to [0, 1]; a missing one counts 0."""
-    return sum(w * min(1.0, max(0.0, parts.get(k) or 0.0)) for k, w in zip("ABCDE", weights))
+#: Weights of the five grades, and the gains that count as full.
+GRADES = {"A": 0.30, "B": 0.25, "C": 0.30, "D": 0.10, "E": 0.05}
+FULL_GAIN = {"r2": 0.05, "react": 0.10, "drift": 0.05}
+
+
+def summary_score(a: float, b: float, gains: Mapping[str, float], e: float, full: Mapping[str, float] | None = None) -> dict[str, float]:
+    """S and its parts: C from the gains in r2 and react, D from that in drift, each a share of its full gain, 0 to 1."""
+    full = full or FULL_GAIN
+    part = lambda k: min(1.0, max(0.0, gains.get(k) or 0.0) / full[k])
+    parts = {"A": a or 0.0, "B": b or 0.0, "C": (part("r2") + part("react")) / 2, "D": part("drift"), "E": e or 0.0}
+    return {"S": sum(w * parts[k] for k, w in GRADES.items()), **parts}
+
+
+def harness_score(splits: Mapping[str, dict]) -> dict[str, dict[str, float]]:
+    """summary_score of each split; a split is its a, b, gains and e."""
+    return {k: summary_score(**v) for k, v in splits.items()}
+
+
+def paired_bootstrap(new: Mapping[str, np.ndarray], old: Mapping[str, np.ndarray], stat, rounds: int = 200, seed: int = 0) -> dict[str, float]:
+    """delta, lo, hi (2.5 and 97.5 %) of stat(new) - stat(old), entities drawn with replacement, the same for both."""
+    rng = np.random.default_rng(seed)
+    names = sorted(set(new) & set(old))
+    value = lambda v, pick: stat(np.concatenate([v[n] for n in pick]))
+    gap = lambda pick: value(new, pick) - value(old, pick)
+    got = [gap([names[i] for i in rng.integers(0, len(names), len(names))]) for _ in range(rounds)]
+    return {"delta": float(gap(names)), "lo": float(np.quantile(got, 0.025)), "hi": float(np.quantile(got, 0.975))}
 
 
 def bootstrap(values: dict[str, np.ndarray], stat, rounds: int = 1000, seed: int = 0) -> tuple[float, float]:
@@ -96,6 +150,28 @@ def bootstrap(values: dict[str, np.ndarray], stat, rounds: int = 1000, seed: int
     return float(np.percentile(got, 2.5)), float(np.percentile(got, 97.5))
 
 
+def question_efficacy(g: Grams, questions: Mapping[str, Sequence[str]], fold_of, alpha: float = 10.0, least: float = 0.002) -> list[tuple[str, float, str]]:
+    """question, gain in out-of-fold R2 with against without its columns, keep or drop.
+
+    From moment matrices alone: leaving a question out is leaving rows and columns out, without another pass."""
+    folds = sorted({fold_of(t) for t in g.times})
+
+    def r2(h: Grams) -> float:
+        total, fits = h.mats.sum(0), out_of_fold(h, fold_of, alpha)
+        err = 0.0
+        for f in folds:
+            m = sum(m for m, t in zip(h.mats, h.times) if fold_of(t) == f)
+            v = np.concatenate([fits[f], [-1.0]])
+            err += v @ m @ v
+        return float(1 - err / (total[-1, -1] - total[0, -1] ** 2 / total[0, 0]))
+
+    whole, out = r2(g), []
+    for q, cols in questions.items():
+        gain = whole - r2(g.keep([f for f in g.features if f not in set(cols)]))
+        out.append((q, gain, "keep" if gain > least else "drop"))
+    return out
+
+
 def identification(df: DataFrame, guess: str, truth: str, ties: str, choices: int) -> DataFrame:
     """Credit 1/k for a guess tied among k, against chance."""
     return df.agg(F.count("*").alias("n"), F.avg(F.when(F.col(guess) == F.col(truth), 1 / F.col(ties)).otherwise(0.0)).alias("rate"), F.lit(1 / choices).alias("chance"))
@@ -104,7 +180,7 @@ def identification(df: DataFrame, guess: str, truth: str, ties: str, choices: in
 def residual_frame(df: DataFrame, score: str, ret: str, period: str, group: str, end: str, cutoff: Column) -> DataFrame:
     """Rows of closed labels with resid: rank of the adjusted return less rank of the score. (K1)"""
     d = df.where((F.col(end) < cutoff) & F.col(score).isNotNull() & F.col(ret).isNotNull())
-    d = d.withColumn("__adj", F.col(ret) - F.avg(ret).over(Window.partitionBy(period, group)))
+    d = d.withColumn("__adj", F.round(F.col(ret) - F.avg(ret).over(Window.partitionBy(period, group)), 10))  # equal values tie whatever the order of sums
     return d.withColumn("resid", pct_rank("__adj", [period]) - pct_rank(score, [period])).drop("__adj")
 
 

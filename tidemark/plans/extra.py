@@ -69,5 +69,5 @@ SQL = {
     "event_direction_share": f"WITH e AS (SELECT event_id, {_CIK} AS cik, epoch_us(published_at) AS t, CASE WHEN NOT isnan(direction) THEN direction END AS x, category FROM eight_k_events WHERE published_at IS NOT NULL), w AS (SELECT event_id, count(*) OVER z AS n, coalesce(sum(x) OVER z, 0) AS a, coalesce(sum(abs(x)) OVER z, 0) AS g, count(DISTINCT category) OVER z AS kinds FROM e WINDOW z AS (PARTITION BY cik ORDER BY t RANGE BETWEEN {90 * DAY} PRECEDING AND 1 PRECEDING)) SELECT event_id, n, {r('CASE WHEN g > 1e-9 THEN a / g ELSE 0 END', 6)} AS share, kinds FROM w",
     "registry_bar_counts": f"WITH r AS (SELECT * FROM (VALUES {_VAL(_REG)}) r(market, kind, t, count, stage, verdict)) SELECT market, CAST(sum(CASE WHEN kind = 'loop_internal' OR (kind = 'test' AND TRY_CAST(t AS DOUBLE) IS NOT NULL) THEN count ELSE 0 END) AS BIGINT) AS judged, count(CASE WHEN stage = 'check' THEN 1 END) AS checks, count(CASE WHEN verdict = 'kept' THEN 1 END) AS kept FROM r GROUP BY 1",
     "ledger_caps": f"WITH l AS (SELECT step, sum(usd) AS spent FROM (VALUES {_VAL(_LED)}) l(step, usd) GROUP BY 1), c AS (SELECT * FROM (VALUES {_VAL(_CAP)}) c(step, cap)) SELECT coalesce(l.step, c.step) AS step, {r('c.cap::DOUBLE')} AS cap, {r('coalesce(l.spent, 0)::DOUBLE')} AS spent FROM l FULL JOIN c ON l.step = c.step",
-    "document_changes": "WITH t AS (SELECT doc_id, abs(log10(length(text) + 1) - log10(lag(length(text)) OVER (PARTITION BY entity_id ORDER BY available_at, doc_id) + 1)) <= 0.5 AS s FROM documents WHERE text IS NOT NULL AND available_at IS NOT NULL) SELECT doc_id, coalesce(s, false) AS same_size FROM t",
+    "document_changes": "WITH t AS (SELECT doc_id, abs(log10(length(text) + 1) - log10(lag(length(text)) OVER (PARTITION BY entity_id ORDER BY available_at, doc_id) + 1)) < 0.5 AS s FROM documents WHERE text IS NOT NULL AND available_at IS NOT NULL) SELECT doc_id, coalesce(s, false) AS same_size FROM t",
 }

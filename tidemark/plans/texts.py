@@ -232,7 +232,7 @@ _LV = "(" + " + ".join(f"{k} * {_PR(k)}" for k in range(5)) + ")"
 _SQ = "(" + " + ".join(f"{k * k} * {_PR(k)}" for k in range(5)) + ")"
 _YES = f"CASE WHEN {_n(CHARGE.patterns['yes'])} > 0 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END"
 _GR = f"{SCORED}, g AS (SELECT *, {sql_pct('score', D)} AS p, CASE WHEN fwd_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, fwd_return > 0 AS up FROM s WHERE score IS NOT NULL AND fwd_return IS NOT NULL)"
-_RES = f"""{SCORED}, j AS (SELECT s.*, s.fwd_return - avg(s.fwd_return) OVER (PARTITION BY s.decision_time, s.grp) AS adj FROM s JOIN panel p ON p.panel_id = s.panel_id WHERE epoch_us(p.label_end) < 1420070400000000 AND score IS NOT NULL AND fwd_return IS NOT NULL),
+_RES = f"""{SCORED}, j AS (SELECT s.*, round(s.fwd_return - avg(s.fwd_return) OVER (PARTITION BY s.decision_time, s.grp), 10) AS adj FROM s JOIN panel p ON p.panel_id = s.panel_id WHERE epoch_us(p.label_end) < 1420070400000000 AND score IS NOT NULL AND fwd_return IS NOT NULL),
     w AS (SELECT *, {sql_pct('adj', D)} - {sql_pct('score', D)} AS resid, coalesce({sql_pct('score', D)}, 0.5) - 0.5 AS x1, coalesce({sql_pct('rt_cost', D)}, 0.5) - 0.5 AS x2 FROM j)"""
 _RES_FULL = _RES.replace("epoch_us(p.label_end) < 1420070400000000", "p.label_end IS NOT NULL")
 _TT = lambda v: f"CASE WHEN count({v}) >= 3 AND stddev_samp({v}) > 0 THEN avg({v}) / (stddev_samp({v}) / sqrt(count({v}))) END"
@@ -262,7 +262,7 @@ SQL = {
     "tolerance_skill": f"WITH {_GR}, t AS (SELECT floor(p * 4.999) AS lvl, floor({sql_pct('fwd_return', D)} * 4.999) AS z FROM g), m AS (SELECT z FROM t GROUP BY z ORDER BY count(*) DESC, z LIMIT 1), h AS (SELECT count(*) AS n, avg(CASE WHEN abs(lvl - z) <= 1 THEN 1.0 ELSE 0.0 END) AS hit, avg(CASE WHEN abs((SELECT z FROM m) - z) <= 1 THEN 1.0 ELSE 0.0 END) AS base FROM t) SELECT n, {r('greatest(0, CASE WHEN base < 1 THEN (hit - base) / (1 - base) WHEN hit = 1 THEN 1.0 ELSE 0.0 END)')} AS skill FROM h",
     "auc_rank": f"WITH {_GR}, t AS (SELECT up, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM g), c AS (SELECT count(*) FILTER (up) AS p, count(*) FILTER (NOT up) AS q, sum(k) FILTER (up) AS s FROM t) SELECT p AS pos, q AS neg, {r('(s - p * (p + 1) / 2) / nullif(p * q, 0)')} AS auc FROM c",
     "agreement": f"WITH {_GR} SELECT grp, count(*) AS n, {r('avg(CASE WHEN (p > 0.5) = up THEN 1.0 ELSE 0.0 END)')} AS agreement FROM g GROUP BY 1",
-    "reading_stability": f"WITH {SCORED}, t AS (SELECT entity_id, abs(score - lag(score) OVER (PARTITION BY entity_id ORDER BY decision_time)) <= 0.5 AS ok FROM s) SELECT entity_id, {r('avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END)')} AS share FROM t WHERE ok IS NOT NULL GROUP BY 1",
+    "reading_stability": f"WITH {SCORED}, t AS (SELECT entity_id, abs(score - lag(score) OVER (PARTITION BY entity_id ORDER BY decision_time)) < 0.5 AS ok FROM s) SELECT entity_id, {r('avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END)')} AS share FROM t WHERE ok IS NOT NULL GROUP BY 1",
     "coverage": f"WITH {SCORED} SELECT {r('avg(CASE WHEN score IS NOT NULL AND fwd_return IS NOT NULL AND rt_cost IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS \"all\", " + ", ".join(f"{r(f'avg(CASE WHEN {c} IS NOT NULL THEN 1.0 ELSE 0.0 END)')} AS {c}" for c in ("score", "fwd_return", "rt_cost")) + " FROM s",
     "identification": f"SELECT count(*) AS n, {r('avg(CASE WHEN (CASE WHEN contains(text, {q}revenue of{q}) THEN {q}release{q} ELSE {q}note{q} END) = doc_type THEN 1.0 ELSE 0.0 END)'.replace('{q}', chr(39)))} AS rate, {r('0.2')} AS chance FROM documents WHERE text IS NOT NULL",
     "attribution_slopes": f"WITH {_RES}, ll AS (SELECT decision_time, resid, unnest(['x1', 'x2']) AS field, unnest([x1, x2]) AS x FROM w), p AS (SELECT decision_time, field, count(*) AS n, covar_pop(x, resid) / nullif(var_pop(x), 0) AS b FROM ll WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7), t AS (SELECT field, count(b) AS periods, avg(b) AS slope, {_TT('b')} AS t FROM p GROUP BY 1) SELECT field, periods, {r('slope')} AS slope, {r('t')} AS t, CASE WHEN coalesce(abs(t), 0) < 2 THEN 'fine' WHEN field = 'x2' THEN 'missing' WHEN t > 0 THEN 'under-weighted' ELSE 'over-weighted' END AS verdict FROM t",
