@@ -235,6 +235,16 @@ def grade_picks(df: DataFrame, picked: str, ret: str, period: str) -> DataFrame:
     return per.agg(n.alias("periods"), m.alias("edge"), F.when((n >= 3) & (s > 0), m / (F.nullif(s, F.lit(0.0)) / F.sqrt(n))).alias("t"))
 
 
+def override_split(decisions: DataFrame, fields: str, pick: str, model: str, period: str) -> DataFrame:
+    """field, overrides, gain, t, won of the decisions that differ from the model's, by each field that led them.
+
+    gain and t are over period means of pick less model; won is the share of overrides that did better."""
+    o = decisions.withColumn("field", F.explode(fields))
+    per = o.groupBy("field", period).agg(F.avg(F.col(pick) - F.col(model)).alias("v"), F.count("*").alias("c"), F.sum((F.col(pick) > F.col(model)).cast("double")).alias("w"))
+    n, s = F.count("v"), F.stddev_samp("v")
+    return per.groupBy("field").agg(F.sum("c").alias("overrides"), F.avg("v").alias("gain"), F.when((n >= 3) & (s > 0), F.avg("v") / (F.nullif(s, F.lit(0.0)) / F.sqrt(n))).alias("t"), (F.sum("w") / F.sum("c")).alias("won"))
+
+
 def spotcheck(docs: DataFrame, id_: str, flagged: Column, plain: int = 20, marked: int = 10, seed: int = 0) -> DataFrame:
     """A fixed sample of documents to check by hand: so many plain ones and so many flagged."""
     d = docs.withColumn("flagged", F.coalesce(flagged, F.lit(False))).withColumn("__h", F.xxhash64(F.lit(seed), F.col(id_)))

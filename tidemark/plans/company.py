@@ -94,7 +94,7 @@ def large_universe(spark, d):
     s = s.join(b, ["cik", "list_date"], "left").withColumn("turn", F.col("dollar_vol") / F.col("a"))
     s = s.select("list_date", "cik", "close_px", "dollar_vol", P.trusted_value("a", "b", "turn", "close_px", 1.5e12, (0.5, 4.0), 1e-4, 500.0).alias("v")).where("v.value is not null")
     s = s.withColumn("k", F.rank().over(Window.partitionBy("list_date").orderBy(F.col("v.value").desc())))
-    return rounded(P.floors(s, {"close_px": 5.0, "dollar_vol": 1e6}, rank="k", top=50).select("list_date", "cik", "k", F.col("v.value").alias("size"), F.col("v.source").alias("source")), 2)
+    return rounded(P.floors(s, {"close_px": 5.0, "dollar_vol": 1e6}, rank="k", top=50).select("list_date", "cik", "k", (F.col("v.value") / 1e6).alias("size"), F.col("v.source").alias("source")), 2)
 
 
 def insider_windows(spark, d):
@@ -155,7 +155,7 @@ SQL = {
     "micro_universe": f"WITH {_SIZED} SELECT {_DATE}, cik, code FROM z WHERE mcap >= 3e7 AND mcap < 3e8 AND close_px >= 1 AND dollar_vol >= 1e5",
     "large_universe": f"""WITH {_SIZED}, m AS (SELECT *, close_px * median(shares) OVER (PARTITION BY cik ORDER BY list_date ROWS 4 PRECEDING) AS a FROM z), bb AS (SELECT cik, as_of AS list_date, max(mcap) AS b FROM size_snapshots WHERE mcap > 0 AND NOT isnan(mcap) GROUP BY 1, 2), j AS (SELECT m.*, bb.b, m.dollar_vol / m.a AS turn FROM m LEFT JOIN bb USING (cik, list_date)),
         t AS (SELECT *, coalesce(b > 0 AND b <= 1.5e12, false) AS bok, coalesce(a <= 1.5e12, false) AS aok FROM j), q AS (SELECT *, CASE WHEN bok AND aok AND a / b BETWEEN 0.5 AND 4.0 THEN 'checked' WHEN bok THEN 'other' WHEN aok AND coalesce(turn, 0) >= 1e-4 AND close_px <= 500 THEN 'unchecked' ELSE 'dropped' END AS source FROM t),
-        x AS (SELECT *, CASE source WHEN 'other' THEN b ELSE a END AS size FROM q WHERE source <> 'dropped'), k AS (SELECT *, rank() OVER (PARTITION BY list_date ORDER BY size DESC) AS k FROM x) SELECT {_DATE}, cik, k, {r("size", 2)} AS size, source FROM k WHERE close_px >= 5 AND dollar_vol >= 1e6 AND k <= 50""",
+        x AS (SELECT *, CASE source WHEN 'other' THEN b ELSE a END AS size FROM q WHERE source <> 'dropped'), k AS (SELECT *, rank() OVER (PARTITION BY list_date ORDER BY size DESC) AS k FROM x) SELECT {_DATE}, cik, k, {r("size / 1e6", 2)} AS size, source FROM k WHERE close_px >= 5 AND dollar_vol >= 1e6 AND k <= 50""",
     "insider_windows": f"""WITH t AS (SELECT user_id, epoch_us(ts) AS e, event_id % 17 AS owner, event_type IN ('purchase', 'view') AS buy, value > 50 AS officer, value AS usd FROM events WHERE event_type <> 'error'),
         p AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'error'),
         j AS (SELECT p.event_id, count(DISTINCT owner) FILTER (buy) AS buyers, count(DISTINCT owner) FILTER (NOT buy) AS sellers, count(DISTINCT owner) FILTER (buy AND officer) AS officer_buyers, coalesce(sum(usd) FILTER (buy), 0) AS b, coalesce(sum(usd) FILTER (NOT buy), 0) AS s

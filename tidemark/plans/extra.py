@@ -40,17 +40,22 @@ def event_direction_share(spark, d):
     return rounded(e.select("event_id", F.count("*").over(w).alias("n"), F.when(gross > 1e-9, total / F.nullif(gross, F.lit(0.0))).otherwise(0.0).alias("share"), F.size(F.collect_set("category").over(w)).alias("kinds")), 6)
 
 
-_REG = [("m1", "test", "2.5", 1, "tuning", "kept"), ("m1", "test", "", 1, "tuning", ""), ("m1", "loop_internal", "", 7, "", ""), ("m2", "test", "-1", 1, "check", "dropped")]
-_LED = [("read", 1.5), ("read", 0.25), ("decide", 2.0)]
-_CAP = [("read", 5.0), ("propose", 1.0)]
+_CAP = [("1-URGENT", 5e4), ("unused", 1.0)]
 
 
 def registry_bar_counts(spark, d):
-    return V.bar_counts(spark.createDataFrame(_REG, "market string, kind string, t string, count long, stage string, verdict string"))
+    """The scored deliveries as a registry: a line each, with a text where a t should be for missing scores."""
+    s = table(spark, d, "scored").select(
+        F.concat(F.lit("m"), F.col("block").cast("string")).alias("market"), F.when(F.col("panel_id") % 2 == 0, "test").otherwise("loop_internal").alias("kind"), F.when(F.col("score").isNull() | F.isnan("score"), "open").otherwise(F.col("score").cast("string")).alias("t"),
+        F.lit(1).cast("long").alias("count"), F.when(F.col("fwd_return").isNull(), "check").otherwise("tuning").alias("stage"), F.when(F.col("score") > 1, "kept").otherwise("dropped").alias("verdict"),
+    )
+    return V.bar_counts(s)
 
 
 def ledger_caps(spark, d):
-    return rounded(V.spend_by(spark.createDataFrame(_LED, "step string, usd double"), spark.createDataFrame(_CAP, "step string, cap double")))
+    """The orders as a ledger of spending by priority, against caps of two steps."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("step"), F.col("o_totalprice").cast("double").alias("usd"))
+    return rounded(V.spend_by(o, spark.createDataFrame(_CAP, "step string, cap double")), 2)
 
 
 def document_changes(spark, d):
@@ -67,7 +72,7 @@ SQL = {
     "universe_from_lists": "WITH l AS (SELECT DISTINCT list_date, epoch_us(CAST(list_date AS TIMESTAMP)) AS t FROM universe_lists), p AS (SELECT DISTINCT epoch_us(decision_time) AS t FROM panel), j AS (SELECT p.t, l.list_date FROM p ASOF JOIN l ON p.t > l.t), n AS (SELECT list_date, count(DISTINCT cik) AS names FROM universe_lists WHERE NOT regexp_matches(company_name, '(?i)trust|partners') GROUP BY 1) SELECT j.t AS decision_time, CAST(j.list_date AS VARCHAR) AS list_date, n.names FROM j JOIN n USING (list_date)",
     "interval_events": f"WITH l AS (SELECT cik, max(list_date) AS last FROM universe_lists GROUP BY 1), e AS (SELECT {_CIK} AS cik, DATE '1970-01-01' + CAST(epoch_us(published_at) // {DAY} AS INTEGER) AS day, accession FROM eight_k_events WHERE category = 'deal_closed' AND published_at IS NOT NULL) SELECT l.cik, CAST(l.last AS VARCHAR) AS last, count(DISTINCT e.accession) AS deals FROM l LEFT JOIN e ON e.cik = l.cik AND e.day >= l.last - 90 AND e.day <= l.last + 30 GROUP BY 1, 2",
     "event_direction_share": f"WITH e AS (SELECT event_id, {_CIK} AS cik, epoch_us(published_at) AS t, CASE WHEN NOT isnan(direction) THEN direction END AS x, category FROM eight_k_events WHERE published_at IS NOT NULL), w AS (SELECT event_id, count(*) OVER z AS n, coalesce(sum(x) OVER z, 0) AS a, coalesce(sum(abs(x)) OVER z, 0) AS g, count(DISTINCT category) OVER z AS kinds FROM e WINDOW z AS (PARTITION BY cik ORDER BY t RANGE BETWEEN {90 * DAY} PRECEDING AND 1 PRECEDING)) SELECT event_id, n, {r('CASE WHEN g > 1e-9 THEN a / g ELSE 0 END', 6)} AS share, kinds FROM w",
-    "registry_bar_counts": f"WITH r AS (SELECT * FROM (VALUES {_VAL(_REG)}) r(market, kind, t, count, stage, verdict)) SELECT market, CAST(sum(CASE WHEN kind = 'loop_internal' OR (kind = 'test' AND TRY_CAST(t AS DOUBLE) IS NOT NULL) THEN count ELSE 0 END) AS BIGINT) AS judged, count(CASE WHEN stage = 'check' THEN 1 END) AS checks, count(CASE WHEN verdict = 'kept' THEN 1 END) AS kept FROM r GROUP BY 1",
-    "ledger_caps": f"WITH l AS (SELECT step, sum(usd) AS spent FROM (VALUES {_VAL(_LED)}) l(step, usd) GROUP BY 1), c AS (SELECT * FROM (VALUES {_VAL(_CAP)}) c(step, cap)) SELECT coalesce(l.step, c.step) AS step, {r('c.cap::DOUBLE')} AS cap, {r('coalesce(l.spent, 0)::DOUBLE')} AS spent FROM l FULL JOIN c ON l.step = c.step",
+    "registry_bar_counts": "SELECT 'm' || block AS market, CAST(sum(CASE WHEN panel_id % 2 = 0 AND (score IS NULL OR isnan(score)) THEN 0 ELSE 1 END) AS BIGINT) AS judged, count(CASE WHEN fwd_return IS NULL THEN 1 END) AS checks, count(CASE WHEN score > 1 THEN 1 END) AS kept FROM scored GROUP BY 1",
+    "ledger_caps": f"WITH l AS (SELECT o_orderpriority AS step, sum(CAST(o_totalprice AS DOUBLE)) AS spent FROM orders GROUP BY 1), c AS (SELECT * FROM (VALUES {_VAL(_CAP)}) c(step, cap)) SELECT coalesce(l.step, c.step) AS step, {r('c.cap::DOUBLE', 2)} AS cap, {r('coalesce(l.spent, 0)::DOUBLE', 2)} AS spent FROM l FULL JOIN c ON l.step = c.step",
     "document_changes": "WITH t AS (SELECT doc_id, abs(log10(length(text) + 1) - log10(lag(length(text)) OVER (PARTITION BY entity_id ORDER BY available_at, doc_id) + 1)) < 0.5 AS s FROM documents WHERE text IS NOT NULL AND available_at IS NOT NULL) SELECT doc_id, coalesce(s, false) AS same_size FROM t",
 }

@@ -73,12 +73,12 @@ def sector_ranges(spark, d):
     return f.select("cik", X.plain_name(F.col("company_name")).alias("name"), S.first_range(F.col("sic"), SECTORS, "other").alias("sector"), F.coalesce(F.col("sic").between(1000, 1499) | F.col("sic").between(3200, 3999), F.lit(False)).alias("cyclical"))
 
 
-def _cohorts(spark, d, every=6):
-    """Paths of the cohorts formed at every so many list dates that have a 12th later one."""
+def _cohorts(spark, d):
+    """Paths of the cohorts formed at every list date that has a 12th later one."""
     u = _lists(spark, d).where("close_px is not null")
     dates = u.select("list_date").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("list_date")))
     rets = u.select("cik", "list_date", (F.col("close_px") / F.lag("close_px").over(Window.partitionBy("cik").orderBy("list_date")) - 1).alias("r"))
-    forms = dates.where((F.col("k") - 1) % every == 0).select(F.col("list_date").alias("entry"), (F.col("k") + 12).alias("k")).join(dates.withColumnRenamed("list_date", "leave"), "k").drop("k")
+    forms = dates.select(F.col("list_date").alias("entry"), (F.col("k") + 12).alias("k")).join(dates.withColumnRenamed("list_date", "leave"), "k").drop("k")
     last = u.groupBy("cik").agg(F.max("list_date").alias("ended"))
     end = dates.agg(F.max("list_date").alias("e"))
     mem = u.select("cik", F.col("list_date").alias("entry")).join(F.broadcast(forms), "entry").join(last, "cik").join(F.broadcast(end))
@@ -98,18 +98,6 @@ def monthly_compound(spark, d):
     return rounded(C.monthly(C.overlapping(_cohorts(spark, d), "list_date", "r"), "list_date", "r", "cohorts"), 7)
 
 
-def cohort_daily_full(spark, d):
-    return rounded(_cohorts(spark, d, 1).select("cohort", "list_date", "r"), 7)
-
-
-def overlapping_cohorts_full(spark, d):
-    return rounded(C.overlapping(_cohorts(spark, d, 1), "list_date", "r"), 7)
-
-
-def monthly_compound_full(spark, d):
-    return rounded(C.monthly(C.overlapping(_cohorts(spark, d, 1), "list_date", "r"), "list_date", "r", "cohorts"), 7)
-
-
 XS = ["score", "rt_cost"]
 
 
@@ -211,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         melt_long, widen_first, widen_mean, feature_transforms, scoped_candidate, encode_onehot, encode_monotone, dummy_columns, sector_ranges, cohort_daily, overlapping_cohorts,
-        monthly_compound, cohort_daily_full, overlapping_cohorts_full, monthly_compound_full, ridge_two_feature, walkforward_scores, model_contributions, oof_by_year, recency_weighted, first_reported, q4_derived, yoy_growth, item_categories,
+        monthly_compound, ridge_two_feature, walkforward_scores, model_contributions, oof_by_year, recency_weighted, first_reported, q4_derived, yoy_growth, item_categories,
         name_map, spreads_ar_cs, clean_bars, quarter_snapshot, size_bands,
     )
 }
@@ -221,7 +209,7 @@ _U = f"u AS (SELECT cik, list_date, min(code) AS code, min(sector) AS sector, {'
 _LVL = "least(greatest(round_even(score + 2, 0), 0), 4)"
 _COH = f"""{_U}, v AS (SELECT * FROM u WHERE close_px IS NOT NULL), dt AS (SELECT list_date, row_number() OVER (ORDER BY list_date) AS k FROM (SELECT DISTINCT list_date FROM v)),
     rt AS (SELECT cik, list_date, close_px / lag(close_px) OVER (PARTITION BY cik ORDER BY list_date) - 1 AS r FROM v),
-    fm AS (SELECT a.list_date AS entry, b.list_date AS leave FROM dt a JOIN dt b ON b.k = a.k + 12 WHERE a.k % 6 = 1),
+    fm AS (SELECT a.list_date AS entry, b.list_date AS leave FROM dt a JOIN dt b ON b.k = a.k + 12),
     en AS (SELECT cik, CASE WHEN max(list_date) < (SELECT max(list_date) FROM dt) THEN max(list_date) END AS ended FROM v GROUP BY 1),
     mm AS (SELECT fm.entry, fm.leave, v.cik, en.ended FROM v JOIN fm ON v.list_date = fm.entry JOIN en USING (cik) WHERE ended IS NULL OR ended > entry),
     gd AS (SELECT mm.entry, mm.leave, mm.cik, dt.list_date, 0.998 * product(1 + coalesce(rt.r, 0)) OVER (PARTITION BY mm.entry, mm.cik ORDER BY dt.list_date) AS u1
@@ -230,7 +218,6 @@ _COH = f"""{_U}, v AS (SELECT * FROM u WHERE close_px IS NOT NULL), dt AS (SELEC
     pa AS (SELECT entry, list_date, sum(u1 - CASE WHEN list_date = leave THEN u1 * 0.003 ELSE 0 END) / nullif(sum(u0), 0) - 1 AS r FROM gl GROUP BY 1, 2),
     al AS (SELECT DISTINCT mm.entry, dt.list_date FROM mm JOIN dt ON dt.list_date > mm.entry AND dt.list_date <= mm.leave),
     pt AS (SELECT al.entry, al.list_date, coalesce(pa.r, 0) AS r FROM al LEFT JOIN pa USING (entry, list_date)), ov AS (SELECT list_date, avg(r) AS r, count(*) AS cohorts FROM pt GROUP BY 1)"""
-_COH_FULL = _COH.replace(" WHERE a.k % 6 = 1", "")
 _MOD = f"""{SCORED}, x AS (SELECT s.*, p.label_end, coalesce({sql_pct("s.score", "s.decision_time")}, 0.5) - 0.5 AS x1, coalesce({sql_pct("s.rt_cost", "s.decision_time")}, 0.5) - 0.5 AS x2 FROM s JOIN panel p ON p.panel_id = s.panel_id),
     z AS (SELECT *, fwd_return - avg(fwd_return) OVER (PARTITION BY decision_time, grp) AS y, year(timezone('UTC', decision_time)) AS yr FROM x WHERE fwd_return IS NOT NULL)"""
 _SUMS = "count(*) AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1*x1) AS s11, sum(x1*x2) AS s12, sum(x2*x2) AS s22, sum(x1*y) AS s1y, sum(x2*y) AS s2y"
@@ -257,9 +244,6 @@ SQL = {
     "cohort_daily": f"WITH {_COH} SELECT CAST(entry AS VARCHAR) AS cohort, CAST(list_date AS VARCHAR) AS list_date, {r('r', 7)} AS r FROM pt",
     "overlapping_cohorts": f"WITH {_COH} SELECT CAST(list_date AS VARCHAR) AS list_date, {r('r', 7)} AS r, cohorts FROM ov",
     "monthly_compound": f"WITH {_COH} SELECT CAST(CAST(date_trunc('month', list_date) AS DATE) AS VARCHAR) AS month, {r('product(1 + r) - 1', 7)} AS r, min(cohorts) AS cohorts FROM ov GROUP BY 1",
-    "cohort_daily_full": f"WITH {_COH_FULL} SELECT CAST(entry AS VARCHAR) AS cohort, CAST(list_date AS VARCHAR) AS list_date, {r('r', 7)} AS r FROM pt",
-    "overlapping_cohorts_full": f"WITH {_COH_FULL} SELECT CAST(list_date AS VARCHAR) AS list_date, {r('r', 7)} AS r, cohorts FROM ov",
-    "monthly_compound_full": f"WITH {_COH_FULL} SELECT CAST(CAST(date_trunc('month', list_date) AS DATE) AS VARCHAR) AS month, {r('product(1 + r) - 1', 7)} AS r, min(cohorts) AS cohorts FROM ov GROUP BY 1",
     "ridge_two_feature": f"WITH {_MOD}, sm AS (SELECT {_SUMS} FROM z), ct AS (SELECT n, s1, s2, sy, {_CENT} FROM sm), so AS (SELECT n, s1, s2, sy, {_SOLVE} FROM ct) SELECT {r('sy/n - b1*s1/n - b2*s2/n')} AS c, {r('b1')} AS b1, {r('b2')} AS b2 FROM so",
     "walkforward_scores": f"WITH {_WFS} SELECT x.panel_id, {r('w.c + w.b1 * x.x1 + w.b2 * x.x2', 9)} AS score FROM x JOIN tt USING (decision_time) JOIN w ON w.yr = tt.yr",
     "model_contributions": f"WITH {_WFS} SELECT x.panel_id, {r('w.b1 * x.x1', 9)} AS c_x_score, {r('w.b2 * x.x2', 9)} AS c_x_rt_cost FROM x JOIN tt USING (decision_time) JOIN w ON w.yr = tt.yr",

@@ -89,12 +89,7 @@ def daily_return_last_bar(spark, d):
 
 
 def universe_active(spark, d):
-    times = L.schedule(date(2010, 1, 1), date(2014, 1, 1), "trading", "monthly", "America/New_York", "16:00", 30)
-    return rounded(L.universe(L.schedule_table(spark, times), _bars(spark, d), "entity_id", "close_at", 40))
-
-
-def universe_active_full(spark, d):
-    """universe_active over the whole history: the schedule runs from the first bar to the last."""
+    """Monthly decisions from the first bar to the last. (L4)"""
     b = _bars(spark, d)
     first, last = b.agg(F.min("list_date"), F.max("list_date")).first()
     times = L.schedule(first, last + timedelta(1), "trading", "monthly", "America/New_York", "16:00", 30) if first else []
@@ -121,8 +116,9 @@ def _ev(spark, d):
 
 
 def rolling_event_window(spark, d):
-    days = spark.range(1, 31).select((F.lit(1704067200000000) + F.col("id") * F.lit(DAY)).alias("us"))
-    pts = _ev(spark, d).select("user_id").distinct().crossJoin(F.broadcast(days)).select((F.col("user_id") * 1000 + F.col("us") / DAY % 1000).cast("long").alias("point"), "user_id", F.timestamp_micros("us").alias("t"))
+    """Events of the week before each day from a user's first event to a week after the last."""
+    days = _ev(spark, d).groupBy("user_id").agg(F.floor(F.min(F.unix_micros("ts")) / DAY).alias("a"), F.floor(F.max(F.unix_micros("ts")) / DAY).alias("b"))
+    pts = days.select("user_id", F.explode(F.sequence(F.col("a"), F.col("b") + 8)).alias("day")).select((F.col("user_id") * 100_000 + F.col("day")).alias("point"), "user_id", F.timestamp_micros(F.col("day") * DAY).alias("t"))
     aggs = [F.count("*").alias("n"), F.sum("value").alias("total"), F.countDistinct("event_type").alias("kinds")]
     got = A.in_window(pts, "t", _ev(spark, d), "ts", ["user_id"], 7, aggs, "point")
     return rounded(got.select("point", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds")), 4)
@@ -177,7 +173,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         asof_latest_value, asof_staleness, asof_single, asof_inclusive, asof_document, asof_forward, next_bar_entry, forward_return, daily_return_last_bar, universe_active,
-        universe_active_full, leak_check_counts, nearest_earlier, rolling_event_window, event_change_points, change_vs_prior_k, rolling_median_5, price_features, shrunk_mean, surprise_shrunk_mean,
+        leak_check_counts, nearest_earlier, rolling_event_window, event_change_points, change_vs_prior_k, rolling_median_5, price_features, shrunk_mean, surprise_shrunk_mean,
         base_rates_lagged, observation_features,
     )
 }
@@ -194,7 +190,6 @@ def _attach_sql(age: int | None) -> str:
 
 _B = "b AS (SELECT code AS entity_id, list_date, epoch_us(CAST(list_date AS TIMESTAMP)) AS t, min(close_px) AS px, min(dollar_vol) AS dv FROM universe_lists WHERE code IS NOT NULL AND close_px > 0 AND NOT isinf(close_px) AND NOT isnan(close_px) GROUP BY ALL)"
 _BE = f"{_B}, be AS (SELECT *, datediff('day', max(list_date) OVER (PARTITION BY entity_id), (SELECT max(list_date) FROM b)) > 62 AS ended FROM b)"
-_TIMES = ", ".join(f"({int(t.timestamp() * 1_000_000)})" for t in L.schedule(date(2010, 1, 1), date(2014, 1, 1), "trading", "monthly", "America/New_York", "16:00", 30))
 
 
 def _shrunk(out: str, x: str, k: float, lag: int, levels: list, prior: float) -> str:
@@ -222,13 +217,12 @@ SQL = {
     "forward_return": f"""WITH {_P}, {_BE}, w AS (SELECT *, lead(px, 3) OVER z AS p1, lead(t, 3) OVER z AS t1, last_value(px) OVER y AS pl, last_value(t) OVER y AS tl, row_number() OVER z AS i FROM be WINDOW z AS (PARTITION BY entity_id ORDER BY t), y AS (PARTITION BY entity_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
         j AS (SELECT p.panel_id, w.* FROM p ASOF LEFT JOIN w ON p.entity_id = w.entity_id AND p.t < w.t) SELECT panel_id, t AS entry_time, CASE WHEN p1 IS NOT NULL THEN t1 WHEN ended THEN tl END AS label_end, {r("CASE WHEN p1 IS NOT NULL THEN p1 / px - 1 WHEN ended THEN pl / px * (1 - 0.3) - 1 END")} AS fwd_return, coalesce(p1 IS NULL AND ended, false) AS delisted FROM j WHERE i IS NULL OR i - 1 >= 2""",
     "daily_return_last_bar": f"WITH {_BE}, w AS (SELECT *, px / lag(px) OVER z - 1 AS q, lead(t) OVER z IS NULL AND ended AS l FROM be WINDOW z AS (PARTITION BY entity_id ORDER BY t)) SELECT entity_id, t AS close_at, {r('CASE WHEN l THEN (1 + q) * (1 - 0.3) - 1 ELSE q END')} AS r FROM w",
-    "universe_active": f"WITH {_B}, c AS (SELECT * FROM (VALUES {_TIMES}) c(t)), e AS (SELECT DISTINCT entity_id FROM b), d AS (SELECT c.t, e.entity_id FROM c, e) SELECT d.t AS decision_time, d.entity_id, 'all' AS grp FROM d ASOF JOIN b ON d.entity_id = b.entity_id AND d.t > b.t WHERE d.t - b.t <= {40 * DAY}",
-    "universe_active_full": f"""WITH {_B}, lo AS (SELECT min(list_date) AS a, max(list_date) AS z FROM b), mo AS (SELECT last_day(unnest(generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH))) AS m FROM lo),
+    "universe_active": f"""WITH {_B}, lo AS (SELECT min(list_date) AS a, max(list_date) AS z FROM b), mo AS (SELECT last_day(unnest(generate_series(date_trunc('month', a), z, INTERVAL 1 MONTH))) AS m FROM lo),
         wd AS (SELECT CAST(m - CAST(greatest(isodow(m) - 5, 0) AS INTEGER) AS DATE) AS w FROM mo), c AS (SELECT epoch_us(timezone('America/New_York', CAST(w AS TIMESTAMP) + INTERVAL '16 hours 30 minutes')) AS t FROM wd, lo WHERE w BETWEEN a AND z),
         e AS (SELECT DISTINCT entity_id FROM b), d AS (SELECT c.t, e.entity_id FROM c, e) SELECT d.t AS decision_time, d.entity_id, 'all' AS grp FROM d ASOF JOIN b ON d.entity_id = b.entity_id AND d.t > b.t WHERE d.t - b.t <= {40 * DAY}""",
     "leak_check_counts": _attach_sql(None).replace("WITH ", "WITH y AS (WITH ", 1) + "), x AS (SELECT * FROM y JOIN panel USING (panel_id)) SELECT count(*) AS rows, CAST(sum((at_size_log IS NOT NULL)::INT + (at_rev_growth IS NOT NULL)::INT + (at_guidance_tone IS NOT NULL)::INT) AS BIGINT) AS filled, CAST(sum(CASE WHEN greatest(coalesce(at_size_log, 0), coalesce(at_rev_growth, 0), coalesce(at_guidance_tone, 0)) >= epoch_us(decision_time) THEN 1 ELSE 0 END) AS BIGINT) AS leaks, CAST(sum(CASE WHEN entry_time <= decision_time THEN 1 ELSE 0 END) AS BIGINT) AS early_entries FROM x",
     "nearest_earlier": f"WITH f AS (SELECT cik, as_of, max(mcap) AS mcap FROM size_snapshots WHERE mcap IS NOT NULL GROUP BY ALL), b AS (SELECT a.cik, a.as_of, arg_min(z.mcap, abs(datediff('day', z.as_of, a.as_of) - 364) * 100000 + (z.as_of - DATE '1990-01-01')) AS mb FROM f a JOIN f z ON a.cik = z.cik AND abs(datediff('day', z.as_of, a.as_of) - 364) <= 20 GROUP BY ALL) SELECT f.cik, CAST(f.as_of AS VARCHAR) AS as_of, {r('mb')} AS mcap_before, {r('mcap / nullif(mb, 0) - 1')} AS growth FROM f LEFT JOIN b USING (cik, as_of)",
-    "rolling_event_window": f"WITH p AS (SELECT user_id, 1704067200000000 + k * {DAY} AS t FROM (SELECT DISTINCT user_id FROM events), range(1, 31) z(k)) SELECT CAST(p.user_id * 1000 + (t // {DAY}) % 1000 AS BIGINT) AS point, count(e.event_id) AS n, {r('coalesce(sum(e.value), 0)', 4)} AS total, count(DISTINCT e.event_type) AS kinds FROM p LEFT JOIN events e ON e.user_id = p.user_id AND epoch_us(e.ts) < t AND epoch_us(e.ts) > t - {7 * DAY} GROUP BY p.user_id, p.t",
+    "rolling_event_window": f"WITH p AS (SELECT user_id, unnest(range(min(epoch_us(ts)) // {DAY}, max(epoch_us(ts)) // {DAY} + 9)) * {DAY} AS t FROM events GROUP BY 1) SELECT CAST(p.user_id * 100000 + t // {DAY} AS BIGINT) AS point, count(e.event_id) AS n, {r('coalesce(sum(e.value), 0)', 4)} AS total, count(DISTINCT e.event_type) AS kinds FROM p LEFT JOIN events e ON e.user_id = p.user_id AND epoch_us(e.ts) < t AND epoch_us(e.ts) > t - {7 * DAY} GROUP BY p.user_id, p.t",
     "event_change_points": f"WITH s AS (SELECT user_id, event_type, epoch_us(ts) AS t, 1 AS n, value AS w FROM events UNION ALL SELECT user_id, event_type, epoch_us(ts) + {7 * DAY}, -1, -value FROM events), a AS (SELECT user_id, event_type, t, sum(n) AS n, sum(w) AS w FROM s GROUP BY ALL) SELECT user_id, event_type, t AS \"at\", CAST(sum(n) OVER z AS BIGINT) AS n, {r('sum(w) OVER z', 4)} AS total FROM a WINDOW z AS (PARTITION BY user_id, event_type ORDER BY t)",
     "change_vs_prior_k": f"SELECT event_id, {r('value - CASE WHEN count(value) OVER z >= 2 THEN avg(value) OVER z END', 6)} AS change FROM events WINDOW z AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
     "rolling_median_5": f"SELECT event_id, {r('median(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)', 6)} AS median FROM events",

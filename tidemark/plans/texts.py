@@ -41,8 +41,10 @@ def keyword_scale(spark, d):
 
 
 def quote_ok(spark, d):
-    t = _docs(spark, d).where("text is not null")
-    return t.select("doc_id", T.quote_ok(F.lit("the  BACKLOG covers"), F.col("text")).alias("ok"))
+    """A quote from each text itself, in capitals with wider blanks, and one with its letters turned round."""
+    t = _docs(spark, d).where("text is not null").withColumn("q", F.substring("text", 31, 60))
+    loose = F.replace(F.translate("q", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(" "), F.lit("  "))
+    return t.select("doc_id", T.quote_ok(loose, F.col("text")).alias("own"), T.quote_ok(F.reverse("q"), F.col("text")).alias("turned"))
 
 
 def answer_change(spark, d):
@@ -135,12 +137,11 @@ def reaction_power(spark, d):
     return rounded(G.spearman(w.withColumn("year", F.year(D)), "fit", "target", ["year"]))
 
 
-def _resid(spark, d, full=False):
-    """Residuals of labels closed before 2015, or with full of all closed labels."""
+def _resid(spark, d):
+    """Residuals of all closed labels."""
     p = table(spark, d, "panel").select("panel_id", "label_end")
-    cutoff = 2**62 if full else 1420070400000000
     s = scored_rows(spark, d).join(p, "panel_id")
-    s = G.residual_frame(s, "score", "fwd_return", D, "grp", "label_end", F.timestamp_micros(F.lit(cutoff)))
+    s = G.residual_frame(s, "score", "fwd_return", D, "grp", "label_end", F.timestamp_micros(F.lit(2**62)))
     return s.withColumn("x1", F.coalesce(R.pct_rank("score", [D]), F.lit(0.5)) - 0.5).withColumn("x2", F.coalesce(R.pct_rank("rt_cost", [D]), F.lit(0.5)) - 0.5)
 
 
@@ -148,19 +149,11 @@ def attribution_slopes(spark, d):
     return rounded(G.attribution(_resid(spark, d), ["x1", "x2"], D, {"x1": 0.3, "x2": 0.0}))
 
 
-def calibration_levels(spark, d, full=False):
-    s = _resid(spark, d, full).withColumn("level", F.floor((F.col("x2") + 0.5) * 4.999).cast("double"))
+def calibration_levels(spark, d):
+    s = _resid(spark, d).withColumn("level", F.floor((F.col("x2") + 0.5) * 4.999).cast("double"))
     return rounded(G.calibration(s, "level", D))
 
 
-def attribution_slopes_full(spark, d):
-    return rounded(G.attribution(_resid(spark, d, True), ["x1", "x2"], D, {"x1": 0.3, "x2": 0.0}))
-
-
-def calibration_levels_full(spark, d):
-    return calibration_levels(spark, d, True)
-
-
 def rolling_ic_decay(spark, d):
     return rounded(G.decay(S.rank_ic(scored_rows(spark, d)), D, 12))
 
@@ -184,7 +177,7 @@ def grade_decisions(spark, d):
 
 def decision_cards(spark, d):
     s = scored_rows(spark, d)
-    return s.select("panel_id", G.cards(s, ["score", "fwd_return", "rt_cost"], 2).alias("card"))
+    return s.select("panel_id", G.cards(s, ["score", "rt_cost"], 2).alias("card"))
 
 
 def ic_table(spark, d):
@@ -195,17 +188,21 @@ def ic_table(spark, d):
 
 
 def override_split(spark, d):
-    """Mean return by the leading input of a pick."""
+    """Picks by the cheaper name against the model's own, by the inputs that led the picked card."""
     b = G.batches(scored_rows(spark, d).where("score is not null"), [D, "grp"], "panel_id", 5)
-    lead = F.when(F.abs("score") >= F.coalesce(F.abs("rt_cost") * 100, F.lit(0.0)), "score").otherwise("rt_cost")
-    return rounded(b.groupBy(lead.alias("field")).agg(F.count("fwd_return").alias("n"), F.avg("fwd_return").alias("mean")))
+    w = Window.partitionBy(D, "grp", "batch")
+    b = b.withColumns({"mean": F.avg("fwd_return").over(w), "m": F.row_number().over(w.orderBy(F.col("score").desc(), "panel_id")), "k": F.row_number().over(w.orderBy(F.col("rt_cost").asc_nulls_last(), "panel_id"))})
+    model, pick = F.when(F.col("m") == 1, F.col("fwd_return") - F.col("mean")), F.when(F.col("k") == 1, F.col("fwd_return") - F.col("mean"))
+    lead = F.when(F.col("k") == 1, F.when(F.abs("score") >= 1, F.array(F.lit("score"), F.lit("rt_cost"))).otherwise(F.array(F.lit("rt_cost"))))
+    got = b.groupBy(D, "grp", "batch").agg(F.max(F.when(F.col("k") == 1, F.col("m"))).alias("m"), F.max(model).alias("model"), F.max(pick).alias("pick"), F.max(lead).alias("fields"))
+    return rounded(G.override_split(got.where("m > 1 and model is not null and pick is not null"), "fields", "pick", "model", D))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         keyword_yes_no, keyword_choice, keyword_scale, quote_ok, answer_change, answers_to_observations, mask_names, page_text, trigram_lift, unread_documents, asof_reading,
-        brier_skill, choice_skill, tolerance_skill, auc_rank, agreement, reading_stability, coverage, identification, reaction_power, attribution_slopes, calibration_levels, attribution_slopes_full, calibration_levels_full,
+        brier_skill, choice_skill, tolerance_skill, auc_rank, agreement, reading_stability, coverage, identification, reaction_power, attribution_slopes, calibration_levels,
         rolling_ic_decay, batches_by_id, batch_pick, grade_decisions, decision_cards, ic_table, override_split,
     )
 }
@@ -232,17 +229,17 @@ _LV = "(" + " + ".join(f"{k} * {_PR(k)}" for k in range(5)) + ")"
 _SQ = "(" + " + ".join(f"{k * k} * {_PR(k)}" for k in range(5)) + ")"
 _YES = f"CASE WHEN {_n(CHARGE.patterns['yes'])} > 0 THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END"
 _GR = f"{SCORED}, g AS (SELECT *, {sql_pct('score', D)} AS p, CASE WHEN fwd_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, fwd_return > 0 AS up FROM s WHERE score IS NOT NULL AND fwd_return IS NOT NULL)"
-_RES = f"""{SCORED}, j AS (SELECT s.*, round(s.fwd_return - avg(s.fwd_return) OVER (PARTITION BY s.decision_time, s.grp), 10) AS adj FROM s JOIN panel p ON p.panel_id = s.panel_id WHERE epoch_us(p.label_end) < 1420070400000000 AND score IS NOT NULL AND fwd_return IS NOT NULL),
+_RES = f"""{SCORED}, j AS (SELECT s.*, round(s.fwd_return - avg(s.fwd_return) OVER (PARTITION BY s.decision_time, s.grp), 10) AS adj FROM s JOIN panel p ON p.panel_id = s.panel_id WHERE p.label_end IS NOT NULL AND score IS NOT NULL AND fwd_return IS NOT NULL),
     w AS (SELECT *, {sql_pct('adj', D)} - {sql_pct('score', D)} AS resid, coalesce({sql_pct('score', D)}, 0.5) - 0.5 AS x1, coalesce({sql_pct('rt_cost', D)}, 0.5) - 0.5 AS x2 FROM j)"""
-_RES_FULL = _RES.replace("epoch_us(p.label_end) < 1420070400000000", "p.label_end IS NOT NULL")
 _TT = lambda v: f"CASE WHEN count({v}) >= 3 AND stddev_samp({v}) > 0 THEN avg({v}) / (stddev_samp({v}) / sqrt(count({v}))) END"
 _BA = f"{SCORED}, t AS (SELECT *, (row_number() OVER (PARTITION BY decision_time, grp ORDER BY panel_id) - 1) // 5 AS batch FROM s WHERE score IS NOT NULL), b AS (SELECT *, count(*) OVER (PARTITION BY decision_time, grp, batch) AS n FROM t), f AS (SELECT *, row_number() OVER (PARTITION BY decision_time, grp, batch ORDER BY score DESC, panel_id) AS k FROM b WHERE n = 5)"
 _FW = "regexp_extract(name, '^([A-Za-z0-9]+)', 1)"
+_FLAT = lambda c: f"trim(regexp_replace(lower({c}), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')"
 SQL = {
     "keyword_yes_no": f"SELECT doc_id, {r(_YES)} AS p, lower(nullif(regexp_extract(coalesce(text, ''), '(?i){CHARGE.patterns['yes']}', 0), '')) AS evidence FROM documents",
     "keyword_choice": f"WITH {_C}, q AS (SELECT doc_id, CASE WHEN b.n < 0 THEN b.k ELSE 'kept' END AS top, CASE WHEN b.n < 0 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS m FROM c) SELECT doc_id, " + ", ".join(f"{r(f'CASE WHEN top = {chr(39)}{k}{chr(39)} THEN m ELSE (1 - m) / 2 END')} AS {k}" for k in OUTLOOK.options) + " FROM q",
     "keyword_scale": f"WITH {_S} SELECT doc_id, {r(_LV, 6)} AS level, {r(f'sqrt(greatest({_SQ} - {_LV} * {_LV}, 0))', 6)} AS sd FROM q",
-    "quote_ok": "SELECT doc_id, contains(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f]+', ' ', 'g')), 'the backlog covers') AS ok FROM documents WHERE text IS NOT NULL",
+    "quote_ok": f"WITH t AS (SELECT doc_id, {_FLAT('text')} AS f, substr(text, 31, 60) AS q FROM documents WHERE text IS NOT NULL) SELECT doc_id, contains(f, {_FLAT("replace(translate(q, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ', '  ')")}) AS own, contains(f, {_FLAT('reverse(q)')}) AS turned FROM t",
     "answer_change": f"WITH {_S}, a AS (SELECT *, {_LV} AS lv FROM q WHERE available_at IS NOT NULL) SELECT doc_id, {r('lv - CASE WHEN count(lv) OVER w >= 2 THEN avg(lv) OVER w END', 6)} AS level_chg FROM a WINDOW w AS (PARTITION BY entity_id, doc_type ORDER BY available_at, doc_id ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)",
     "answers_to_observations": f"WITH {_S} SELECT entity_id, doc_id, 'demand' AS feature, {r(_LV, 6)} AS value FROM q WHERE text IS NOT NULL UNION ALL SELECT entity_id, doc_id, 'charge', {r(_YES, 6)} FROM q WHERE text IS NOT NULL",
     "mask_names": f"""WITH n AS (SELECT code, min(company_name) AS name FROM universe_lists WHERE code IS NOT NULL GROUP BY 1), t AS (SELECT d.doc_id, d.text, n.name, n.code FROM documents d LEFT JOIN n ON d.entity_id = n.code WHERE d.text IS NOT NULL),
@@ -267,8 +264,6 @@ SQL = {
     "identification": f"SELECT count(*) AS n, {r('avg(CASE WHEN (CASE WHEN contains(text, {q}revenue of{q}) THEN {q}release{q} ELSE {q}note{q} END) = doc_type THEN 1.0 ELSE 0.0 END)'.replace('{q}', chr(39)))} AS rate, {r('0.2')} AS chance FROM documents WHERE text IS NOT NULL",
     "attribution_slopes": f"WITH {_RES}, ll AS (SELECT decision_time, resid, unnest(['x1', 'x2']) AS field, unnest([x1, x2]) AS x FROM w), p AS (SELECT decision_time, field, count(*) AS n, covar_pop(x, resid) / nullif(var_pop(x), 0) AS b FROM ll WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7), t AS (SELECT field, count(b) AS periods, avg(b) AS slope, {_TT('b')} AS t FROM p GROUP BY 1) SELECT field, periods, {r('slope')} AS slope, {r('t')} AS t, CASE WHEN coalesce(abs(t), 0) < 2 THEN 'fine' WHEN field = 'x2' THEN 'missing' WHEN t > 0 THEN 'under-weighted' ELSE 'over-weighted' END AS verdict FROM t",
     "calibration_levels": f"WITH {_RES}, p AS (SELECT decision_time, floor((x2 + 0.5) * 4.999) AS level, avg(resid) AS g FROM w WHERE resid IS NOT NULL GROUP BY 1, 2) SELECT level, count(g) AS periods, {r('avg(g)')} AS gap, {r(_TT('g'))} AS t FROM p GROUP BY 1",
-    "attribution_slopes_full": f"WITH {_RES_FULL}, ll AS (SELECT decision_time, resid, unnest(['x1', 'x2']) AS field, unnest([x1, x2]) AS x FROM w), p AS (SELECT decision_time, field, count(*) AS n, covar_pop(x, resid) / nullif(var_pop(x), 0) AS b FROM ll WHERE x IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 7), t AS (SELECT field, count(b) AS periods, avg(b) AS slope, {_TT('b')} AS t FROM p GROUP BY 1) SELECT field, periods, {r('slope')} AS slope, {r('t')} AS t, CASE WHEN coalesce(abs(t), 0) < 2 THEN 'fine' WHEN field = 'x2' THEN 'missing' WHEN t > 0 THEN 'under-weighted' ELSE 'over-weighted' END AS verdict FROM t",
-    "calibration_levels_full": f"WITH {_RES_FULL}, p AS (SELECT decision_time, floor((x2 + 0.5) * 4.999) AS level, avg(resid) AS g FROM w WHERE resid IS NOT NULL GROUP BY 1, 2) SELECT level, count(g) AS periods, {r('avg(g)')} AS gap, {r(_TT('g'))} AS t FROM p GROUP BY 1",
     "rolling_ic_decay": f"""WITH {SCORED}, a AS (SELECT *, fwd_return - avg(fwd_return) OVER (PARTITION BY decision_time, grp) AS adj FROM s), b AS (SELECT * FROM a WHERE score IS NOT NULL AND adj IS NOT NULL), c AS (SELECT decision_time, {sql_pct('score', D)} AS x, {sql_pct('adj', D)} AS y FROM b),
         i AS (SELECT decision_time, covar_pop(x, y) / nullif(sqrt(var_pop(x) * var_pop(y)), 0) AS ic FROM c GROUP BY 1), k AS (SELECT ic, row_number() OVER (ORDER BY decision_time DESC) AS k FROM i WHERE ic IS NOT NULL), m AS (SELECT avg(ic) FILTER (k > 12) AS early, avg(ic) FILTER (k <= 12) AS late, var_samp(ic) FILTER (k <= 12) / count(*) FILTER (k <= 12) + var_samp(ic) FILTER (k > 12) / count(*) FILTER (k > 12) AS v FROM k)
         SELECT {r('early')} AS early, {r('late')} AS late, {r('sign(early) * (late - early) / nullif(sqrt(v), 0)')} AS t FROM m""",
@@ -276,5 +271,9 @@ SQL = {
     "batch_pick": f"WITH {_BA} SELECT panel_id, batch FROM f WHERE k = 1",
     "grade_decisions": f"WITH {_BA}, p AS (SELECT decision_time, avg(fwd_return) FILTER (k = 1) - avg(fwd_return) AS e FROM f GROUP BY 1) SELECT count(e) AS periods, {r('avg(e)')} AS edge, {r(_TT('e'))} AS t FROM p",
     "ic_table": f"WITH {SCORED}, ll AS (SELECT decision_time, fwd_return, unnest(['score', 'rt_cost']) AS field, unnest([score, rt_cost]) AS x FROM s), m AS (SELECT * FROM ll WHERE x IS NOT NULL AND fwd_return IS NOT NULL), k AS (SELECT decision_time, field, {sql_pct('x', 'decision_time, field')} AS a, {sql_pct('fwd_return', 'decision_time, field')} AS b FROM m), i AS (SELECT decision_time, field, covar_pop(a, b) / nullif(sqrt(var_pop(a) * var_pop(b)), 0) AS rho FROM k GROUP BY 1, 2) SELECT field, count(rho) AS periods, {r('avg(rho)')} AS ic, {r('CASE WHEN count(rho) >= 12 AND stddev_samp(rho) > 0 THEN avg(rho) / (stddev_samp(rho) / sqrt(count(rho))) END')} AS t FROM i GROUP BY 1",
-    "override_split": f"WITH {_BA} SELECT CASE WHEN abs(score) >= coalesce(abs(rt_cost) * 100, 0) THEN 'score' ELSE 'rt_cost' END AS field, count(fwd_return) AS n, {r('avg(fwd_return)')} AS mean FROM f GROUP BY 1",
+    "override_split": f"""WITH {_BA}, c AS (SELECT *, fwd_return - avg(fwd_return) OVER (PARTITION BY decision_time, grp, batch) AS x, row_number() OVER (PARTITION BY decision_time, grp, batch ORDER BY rt_cost ASC NULLS LAST, panel_id) AS c FROM f),
+        g AS (SELECT decision_time, grp, batch, max(CASE WHEN c = 1 THEN k END) AS m, max(CASE WHEN k = 1 THEN x END) AS model, max(CASE WHEN c = 1 THEN x END) AS pick, max(CASE WHEN c = 1 THEN abs(score) END) AS s FROM c GROUP BY 1, 2, 3),
+        o AS (SELECT *, unnest(CASE WHEN s >= 1 THEN ['score', 'rt_cost'] ELSE ['rt_cost'] END) AS field FROM g WHERE m > 1 AND model IS NOT NULL AND pick IS NOT NULL),
+        p AS (SELECT field, decision_time, avg(pick - model) AS v FROM o GROUP BY 1, 2), tt AS (SELECT field, avg(v) AS gain, {_TT('v')} AS t FROM p GROUP BY 1), w AS (SELECT field, count(*) AS overrides, avg(CASE WHEN pick > model THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS won FROM o GROUP BY 1)
+        SELECT field, overrides, {r('gain')} AS gain, {r('t')} AS t, {r('won')} AS won FROM tt JOIN w USING (field)""",
 }
