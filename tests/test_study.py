@@ -71,7 +71,8 @@ def test_walk_forward_equals_direct_ridge(panel):
     b = np.linalg.solve(xc.T @ xc + 10 * np.eye(2), xc.T @ (y - y.mean()))
     assert np.allclose(ridge.solve(g.mats.sum(0), 10.0)[1:], b)
     assert np.allclose(ridge.least_squares(g.keep(["planted"]).mats.sum(0)), np.linalg.lstsq(xc[:, :1], y - y.mean(), rcond=None)[0])
-    assert ridge.WalkForward("quarter", 10.0, 6).best_half_life(g, max(g.times), [6, 24]) in (6, 24)
+    assert ridge.WalkForward("quarter", 10.0, 6).best_half_life(g, max(g.times), [6, 24], d, "fwd_return", "decision_time", periods=4) in (6, 24)
+    assert ridge.WalkForward("quarter", 10.0, 6).best_half_life(g, min(g.times), [6, 24], d, "fwd_return", "decision_time") is None
 
 
 def test_loop_and_replay(panel, tmp_path):

@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranks import demean
+from tidemark.operators.ranks import demean, pct_rank
+from tidemark.operators.scoring import correlation
 
 
 @dataclass
@@ -96,27 +97,29 @@ class WalkForward:
         w = [0.5 ** (age[g.times[k]] / self.half_life) if self.half_life else 1.0 for k in use]
         return solve(np.tensordot(w, g.mats[use], axes=1), self.alpha)
 
-    def best_half_life(self, g: Grams, first: datetime, grid: Sequence[float], before: float | None = None) -> float | None:
-        """Half-life of the best fit of the last 12 closed periods, at most a step from the last choice. (M5)"""
+    def best_half_life(self, g: Grams, first: datetime, grid: Sequence[float], rows: DataFrame, y: str, time: str, before: float | None = None, periods: int = 12) -> float | None:
+        """Half-life of the best mean rank correlation over the last closed periods, at most a step from the last choice. (M5)
+
+        Each candidate is fitted anew for each period on what had closed before it; ties go to the earlier candidate; with
+        too little history there is none. All candidates are scored in one pass over the rows of those periods."""
         times = sorted(set(g.times))
-        closed = [t for t in times if all(e is not None and e < first for x, e in zip(g.times, g.ends) if x == t)][-12:]
+        closed = [t for t in times if all(e is not None and e < first for x, e in zip(g.times, g.ends) if x == t)]
+        if len(closed) < self.min_periods + periods:
+            return None
         options = list(grid)
         if before in options:
             i = options.index(before)
             options = options[max(0, i - 1) : i + 2]
-        best, choice = -np.inf, None
-        for h in options:
-            err = []
-            for t in closed:
-                w = WalkForward(self.block, self.alpha, self.min_periods, self.embargo_days, h).fit(g, t, times)
-                if w is None:
-                    break
-                m = sum(g.mats[k] for k in range(len(g.times)) if g.times[k] == t)
-                v = np.concatenate([w, [-1.0]])
-                err.append(1 - (v @ m @ v) / max(m[-1, -1], 1e-12))
-            if err and len(err) == len(closed) and np.mean(err) > best:
-                best, choice = float(np.mean(err)), h
-        return choice
+        fits = [(t, j, w) for j, h in enumerate(options) for t in closed[-periods:] if (w := WalkForward(self.block, self.alpha, self.min_periods, self.embargo_days, h).fit(g, t, times)) is not None]
+        if not fits:
+            return None
+        table = rows.sparkSession.createDataFrame([(t, j, [float(v) for v in w]) for t, j, w in fits], "__t timestamp, __j int, __w array<double>")
+        d = rows.where(F.col(y).isNotNull()).join(F.broadcast(table), F.col(time) == F.col("__t"))  # periods times candidates
+        d = d.withColumn("__p", sum((F.col("__w")[i + 1] * F.col(f) for i, f in enumerate(g.features)), F.col("__w")[0]))
+        d = d.select(time, "__j", pct_rank("__p", [time, "__j"]).alias("__a"), pct_rank(y, [time, "__j"]).alias("__b"))
+        got = d.groupBy("__j", time).agg(correlation("__a", "__b").alias("r")).groupBy("__j").agg(F.avg("r").alias("r")).collect()
+        mean = {r["__j"]: r.r for r in got if r.r is not None}
+        return options[max(mean, key=lambda j: (mean[j], -j))] if mean else None
 
 
 def apply_weights(df: DataFrame, features: Sequence[str], time: str, weights: Mapping[datetime, np.ndarray], contributions: bool = False) -> DataFrame:

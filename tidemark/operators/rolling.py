@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import local_date, table, trimmed
@@ -19,20 +19,22 @@ def trailing_totals(daily: DataFrame, keys: Sequence[str], day: str, value: str,
     of its totals counts comes out, days of empty windows as 0.
 
     Plan: one shuffle by (keys, day) for the daily totals, combined before it; one by keys of these totals (a key has
-    one row a day at most, so none is hot). The exploded rows are grouped in place, and the calendar of a key is made
-    where its totals lie, so neither needs another shuffle.
+    one row a day at most, so none is hot). The exploded rows are grouped in place, and the calendar rows of empty
+    windows are joined in where they belong, between a key's neighbouring days, so neither needs another shuffle and the
+    calendar, which may be many times the events, is neither sorted nor grouped.
     """
     keys, longest = list(keys), max(periods)
     tot = daily.where(F.col(day).isNotNull()).groupBy(*keys, F.col(day).cast("date").alias(day))
     tot = tot.agg(F.sum(F.coalesce(F.nanvl(F.col(value).cast("double"), F.lit(0.0)), F.lit(0.0))).alias("__v"))
     tot = tot.repartition(*keys)
     hit = tot.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(longest - 1)))).withColumn(day, F.date_add(day, F.col("__k")))
-    if zeros:
-        span = tot.groupBy(*keys).agg(F.min(day).alias("__a"), F.max(day).alias("__b"))
-        calendar = span.select(*keys, F.explode(F.sequence("__a", F.date_add("__b", longest - 1))).alias(day), F.lit(0.0).alias("__v"), F.lit(longest).alias("__k"))
-        hit = hit.unionByName(calendar)
     sums = [F.sum(F.when(F.col("__k") < p, F.col("__v")).otherwise(0.0)).alias(f"n{p}") for p in periods]
     out = hit.groupBy(*keys, day).agg(*sums)
+    if zeros:
+        gap = F.datediff(F.lead(day).over(Window.partitionBy(*keys).orderBy(day)), F.col(day))
+        out = out.withColumn("__gap", F.coalesce(gap - 1, F.lit(0)))
+        out = out.withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__gap"))))
+        out = out.select(*keys, F.date_add(day, F.col("__k")).alias(day), *[F.when(F.col("__k") == 0, F.col(f"n{p}")).otherwise(0.0).alias(f"n{p}") for p in periods])
     return out.select(*keys, day, *[f"n{p}" for p in periods], *[(F.col(f"n{p}") / F.lit(float(p))).alias(f"avg{p}") for p in periods])
 
 

@@ -168,11 +168,11 @@ class Coordinator:
         return [f for f, s in self._signs.items() if flips(s[-n:]) >= self.settings.flips]
 
     def rollback_if_worse(self, at: datetime) -> bool:
-        """The last change goes if the time since tells against it."""
+        """The last change goes if the time since tells against it on the acceptance side."""
         if not self._last:
             return False
         since, old = self._last
-        side = F.col(T) >= F.lit(since)
+        side = (F.col(T) >= F.lit(since)) & acceptance(self.settings.acceptance_share)
         t, n = self.paired(old, self.config, at, side)
         if n >= 3 and t is not None and t <= self.settings.rollback:
             self.config, self._last = old, None
