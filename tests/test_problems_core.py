@@ -76,11 +76,11 @@ def test_as_known_on_both_axes(spark, monkeypatch, dense):
 def test_valid_spans_cover_their_days_once(spark):
     rows = [(date(2020, 1, 1), date(2020, 1, 1)), (date(2020, 1, 1), date(2020, 3, 17)), (date(1999, 12, 31), date(2031, 7, 2)), (date(2020, 5, 2), date(2020, 5, 1))]
     df = spark.createDataFrame(rows, "a date, b date")
-    for r in df.select("a", "b", bitemporal.valid_spans(F.col("a"), F.col("b")).alias("s")).collect():
+    for r in df.select("a", "b", bitemporal.valid_spans(F.unix_date("a"), F.unix_date("b")).alias("s")).collect():
         days = [d for x in r.s for d in range(x.place << x.level, (x.place + 1) << x.level)]
         first = (r.a - date(1970, 1, 1)).days - bitemporal.FIRST_DAY
         assert sorted(days) == list(range(first, first + max(0, (r.b - r.a).days))) and len(r.s) <= 2 * bitemporal.TOP
-    assert df.select(bitemporal.valid_spans(F.lit(None).cast("date"), F.lit(None).cast("date")).alias("s")).first().s == [(bitemporal.TOP, 0)]
+    assert df.select(bitemporal.valid_spans(F.lit(None).cast("long"), F.lit(None).cast("long")).alias("s")).first().s == [(bitemporal.TOP, 0)]
 
 
 def totals(spark, rows, **kw):

@@ -22,9 +22,11 @@ SPAN = ("entity", "level", "place")
 def valid_spans(first: Column, last: Column) -> Column:
     """Array of (level, place): the fewest spans of the grid that together are the days [first, last), null being open.
 
+    Days are numbers since 1970-01-01, or any other unit that counts time, such as quarters.
+
     A span of level k at place i has the 2**k days from FIRST_DAY + i * 2**k on, so there are at most two of a level."""
-    lo = F.greatest(F.coalesce(F.datediff(first, F.lit("1970-01-01").cast("date")) - FIRST_DAY, F.lit(0)), F.lit(0)).cast("long")
-    hi = F.least(F.coalesce(F.datediff(last, F.lit("1970-01-01").cast("date")) - FIRST_DAY, F.lit(1 << TOP)), F.lit(1 << TOP)).cast("long")
+    lo = F.greatest(F.coalesce(first - FIRST_DAY, F.lit(0)), F.lit(0)).cast("long")
+    hi = F.least(F.coalesce(last - FIRST_DAY, F.lit(1 << TOP)), F.lit(1 << TOP)).cast("long")
     span = lambda level, place: F.struct(level.cast("int").alias("level"), place.cast("long").alias("place"))
     none = F.array().cast("array<struct<level:int,place:bigint>>")
 
@@ -40,6 +42,14 @@ def valid_spans(first: Column, last: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(TOP)), start, rise, lambda s: s["got"])
 
 
+def _day(df: DataFrame, name: str | None) -> Column:
+    """Number of the day of a date or timestamp column; a column of whole numbers is taken as it is."""
+    if name is None:
+        return F.lit(None).cast("long")
+    whole = df.schema[name].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col(name).cast("long") if whole else F.unix_date(F.to_date(name)).cast("long")
+
+
 def known_rectangles(
     facts: DataFrame, entity: str, attribute: str, recorded: str, seq: str, value: str, days: int = CELL_DAYS,
     valid_from: str | None = None, valid_to: str | None = None,
@@ -58,7 +68,7 @@ def known_rectangles(
     halvings (of the cell, so that no part of it has many rectangles).
     """
     everywhere = F.array(F.struct(F.lit(TOP).alias("level"), F.lit(0).cast("long").alias("place")))
-    spans = everywhere if valid_from is None and valid_to is None else valid_spans(*[F.lit(None).cast("date") if c is None else F.to_date(c) for c in (valid_from, valid_to)])
+    spans = everywhere if valid_from is None and valid_to is None else valid_spans(_day(facts, valid_from), _day(facts, valid_to))
     f = facts.select(
         F.col(entity).alias("entity"), F.col(attribute).alias("attribute"), F.unix_micros(recorded).alias("rec_from"), F.col(seq).alias("seq"), number(F.col(value)).alias("value"), spans.alias("spans")
     ).where(F.col("entity").isNotNull() & F.col("attribute").isNotNull() & F.col("rec_from").isNotNull())
@@ -102,7 +112,7 @@ def as_known(
     names = [f"h{i}" for i in range(len(attributes))]
     own = lambda a: F.when(F.col("attribute") == a, F.struct("rec_from", "seq"))
     heads = rect.groupBy(*SPAN, "cell").agg(*[F.max_by(F.struct("rec_from", "seq", "value"), own(a)).alias(n) for a, n in zip(attributes, names)], F.first("halvings").alias("halvings"))
-    p = events.select(F.col(event_id).alias("id"), F.col(event_entity).alias("entity"), F.unix_micros(event_time).alias("t"), (F.lit(FIRST_DAY) if valid_at is None else F.unix_date(F.to_date(valid_at))).alias("day"))
+    p = events.select(F.col(event_id).alias("id"), F.col(event_entity).alias("entity"), F.unix_micros(event_time).alias("t"), (F.lit(FIRST_DAY).cast("long") if valid_at is None else _day(events, valid_at)).alias("day"))
     p = p.where(F.col("entity").isNotNull() & F.col("t").isNotNull() & F.col("day").isNotNull()).withColumn("cell", time_cell(F.col("t"), days))
     if several:
         p = p.groupBy(*p.columns).agg(F.count("*").alias("copies"))
@@ -146,12 +156,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the observations about the quarter that the decision falls in (the 92 days from period_end on), the one recorded last before it."""
-    o = table(spark, sf_dir, "observations").select("entity_id", "feature", "available_at", "seq", "obs_value", "period_end", F.date_add("period_end", 92).alias("over"))
-    d = table(spark, sf_dir, "panel").select("entity_id", "decision_time", "panel_id", F.expr("date_from_unix_date(cast(floor(unix_micros(decision_time) / 86400000000) as int))").alias("day"))
+    """Of the observations that hold in the decision's quarter (about the one before, or about none), the one recorded last before it."""
+    quarter = lambda c: F.year(c) * 4 + F.quarter(c)
+    o = table(spark, sf_dir, "observations").select("entity_id", "feature", "available_at", "seq", "obs_value", (quarter("period_end") + 1).alias("from"), (quarter("period_end") + 2).alias("to"))
+    day = F.date_from_unix_date(F.floor(F.unix_micros("decision_time") / 86_400_000_000).cast("int"))
+    d = table(spark, sf_dir, "panel").select("entity_id", "decision_time", "panel_id", quarter(day).alias("at"))
     got = as_known(
         d, "entity_id", "decision_time", o, "entity_id", "feature", "available_at", "seq", "obs_value", FEATURES, "panel_id",
-        valid_at="day", valid_from="period_end", valid_to="over",
+        valid_at="at", valid_from="from", valid_to="to",
     )
     return got.where(F.col("value").isNotNull()).select("panel_id", F.col("attribute").alias("feature"), "seq")
 
@@ -163,7 +175,7 @@ SQL = {
                    WHERE feature IN ('size_log', 'rev_growth', 'guidance_tone') AND entity_id IS NOT NULL AND available_at IS NOT NULL),
         j AS (SELECT p.panel_id, o.feature, arg_max(o.seq, {'a': o.at, 's': o.seq}) AS seq, arg_max(o.missing, {'a': o.at, 's': o.seq}) AS missing
               FROM panel p JOIN o ON o.entity_id = p.entity_id AND o.available_at < p.decision_time
-                   AND (o.period_end IS NULL OR (o.period_end <= CAST(timezone('UTC', p.decision_time) AS DATE) AND CAST(timezone('UTC', p.decision_time) AS DATE) < o.period_end + 92))
+                   AND (o.period_end IS NULL OR year(o.period_end) * 4 + quarter(o.period_end) + 1 = year(timezone('UTC', p.decision_time)) * 4 + quarter(timezone('UTC', p.decision_time)))
               GROUP BY ALL)
         SELECT panel_id, feature, seq FROM j WHERE missing = 0""",
     "p2_found": """
