@@ -77,3 +77,39 @@ class SyntheticMarket:
         pick = F.floor(uniform(self.seed + paraphrase, F.lit("t"), "entity_id", "month") * 2).cast("int")
         table = F.array(*[F.array(*[F.lit(x) for x in t]) for t in self.TEMPLATES])
         return lat.select("entity_id", "available_at", F.lit("release").alias("doc_type"), F.concat_ws("-", "entity_id", F.col("month").cast("string")).alias("doc_id"), F.concat(F.lit("COMPANY reported results. "), table[F.col("guidance")][pick]).alias("text"), F.col("guidance"))
+
+    def gold(self, spark: SparkSession) -> DataFrame:
+        """doc_id, entity_id, outlook: the true answer of each document."""
+        label = F.array(F.lit("lowered"), F.lit("kept"), F.lit("raised"))[F.col("guidance")]
+        return self.documents(spark).select("doc_id", "entity_id", label.alias("outlook"))
+
+    def probes(self, spark: SparkSession) -> DataFrame:
+        """doc_id, probe, text, probe_text: each document reworded, in another order, under another mask, and with the opposite guidance."""
+        d = self.documents(spark).select("doc_id", "text", "guidance")
+        other = self.documents(spark, paraphrase=1).select("doc_id", F.col("text").alias("p"))
+        parts = F.split("text", r"(?<=\.) ")
+        opposite = F.array(*[F.lit(self.TEMPLATES[2 - g][0]) for g in range(3)])[F.col("guidance")]
+        kinds = {
+            "paraphrase": F.col("p"),
+            "order": F.array_join(F.reverse(parts), " "),
+            "mask_alt": F.replace(F.col("text"), F.lit("COMPANY"), F.lit("THE FIRM")),
+            "counterfactual": F.concat_ws(" ", parts[0], opposite),
+        }
+        probes = F.explode(F.array(*[F.struct(F.lit(k).alias("probe"), c.alias("probe_text")) for k, c in kinds.items()])).alias("x")
+        return d.join(other, "doc_id").select("doc_id", "text", "guidance", probes).select("doc_id", "text", "guidance", "x.*")
+
+    def market_set(self, spark: SparkSession, react: int = 3, sigma: int = 60, drift: int = 20) -> DataFrame:
+        """doc_id, entity_id, year, react, z, drift: of each document the market-adjusted return of the bars after it, in units
+        of the entity's usual move before it, and of the bars after those; only where all bars are there. (G15)"""
+        w = Window.partitionBy("entity_id").orderBy("day")
+        b = self.bars(spark).withColumn("r", F.col("price") / F.lag("price").over(w) - 1)
+        b = b.withColumn("a", F.col("r") - F.avg("r").over(Window.partitionBy("day")))
+        over = lambda i, j: w.rowsBetween(i, j)
+        b = b.withColumns({
+            "react": F.sum("a").over(over(1, react)), "sd": F.stddev_samp("a").over(over(1 - sigma, 0)), "before": F.count("a").over(over(1 - sigma, 0)),
+            "drift": F.sum("a").over(over(react + 1, react + drift)), "after": F.count("a").over(over(1, react + drift)),
+        })
+        d = self.documents(spark).select("doc_id", "entity_id", "available_at")
+        ok = (F.col("before") == sigma) & (F.col("after") == react + drift) & (F.col("sd") > 0)
+        b = b.where(ok).select("entity_id", F.col("close_at").alias("available_at"), "react", (F.col("react") / (F.col("sd") * float(react) ** 0.5)).alias("z"), "drift")
+        return d.join(b, ["entity_id", "available_at"]).select("doc_id", "entity_id", F.year("available_at").alias("year"), "react", "z", "drift")
