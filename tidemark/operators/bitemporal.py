@@ -39,7 +39,13 @@ def valid_spans(first: Column, last: Column) -> Column:
         return F.struct(up_a.cast("long").alias("a"), up_b.cast("long").alias("b"), F.concat(s["got"], left, right).alias("got"))
 
     start = F.struct(lo.alias("a"), hi.alias("b"), none.alias("got"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(TOP)), start, rise, lambda s: s["got"])
+    levels = F.sequence(F.lit(0), F.least(F.ceil(F.log2(F.greatest(hi - lo, F.lit(1)))).cast("int"), F.lit(TOP)))  # a span is no longer than the whole
+    return (
+        F.when(lo >= hi, none)
+        .when(hi - lo == 1, F.array(span(F.lit(0), lo)))
+        .when(hi - lo == 1 << TOP, F.array(span(F.lit(TOP), F.lit(0))))
+        .otherwise(F.aggregate(levels, start, rise, lambda s: s["got"]))
+    )
 
 
 def _day(df: DataFrame, name: str | None) -> Column:
