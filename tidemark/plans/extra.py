@@ -12,6 +12,7 @@ from tidemark.plans import governance as V
 from tidemark.plans.common import r, rounded
 from tidemark.plans.points import DAY, day_start
 from tidemark.session import table
+from tidemark.sources.files import size_source
 
 
 def universe_from_lists(spark, d):
@@ -58,6 +59,12 @@ def ledger_caps(spark, d):
     return rounded(V.spend_by(o, spark.createDataFrame(_CAP, "step string, cap double")), 2)
 
 
+def size_observations(spark, d):
+    """Log market value of each list row, as observations."""
+    got = size_source(table(spark, d, "universe_lists"), "code", "_available", "mcap", "list_id")
+    return rounded(got.where("value is not null"), 6)
+
+
 def document_changes(spark, d):
     """Whether a document's quality fields moved against the entity's one before."""
     t = table(spark, d, "documents").where("text is not null and available_at is not null").select("doc_id", "entity_id", "available_at", F.length("text").cast("double").alias("n"))
@@ -65,7 +72,7 @@ def document_changes(spark, d):
     return t.select("doc_id", F.coalesce(G.stable(F.log10(F.col("n") + 1), F.log10(F.lag("n").over(w) + 1), "scale"), F.lit(False)).alias("same_size"))
 
 
-QUERIES = {f.__name__: f for f in (universe_from_lists, interval_events, event_direction_share, registry_bar_counts, ledger_caps, document_changes)}
+QUERIES = {f.__name__: f for f in (universe_from_lists, interval_events, event_direction_share, registry_bar_counts, ledger_caps, document_changes, size_observations)}
 _CIK = "TRY_CAST(nullif(regexp_extract(trim(entity), '(?i)^(?:CIK)?[ :#-]*([0-9]{1,18})$', 1), '') AS BIGINT)"
 _VAL = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 SQL = {
@@ -74,5 +81,6 @@ SQL = {
     "event_direction_share": f"WITH e AS (SELECT event_id, {_CIK} AS cik, epoch_us(published_at) AS t, CASE WHEN NOT isnan(direction) THEN direction END AS x, category FROM eight_k_events WHERE published_at IS NOT NULL), w AS (SELECT event_id, count(*) OVER z AS n, coalesce(sum(x) OVER z, 0) AS a, coalesce(sum(abs(x)) OVER z, 0) AS g, count(DISTINCT category) OVER z AS kinds FROM e WINDOW z AS (PARTITION BY cik ORDER BY t RANGE BETWEEN {90 * DAY} PRECEDING AND 1 PRECEDING)) SELECT event_id, n, {r('CASE WHEN g > 1e-9 THEN a / g ELSE 0 END', 6)} AS share, kinds FROM w",
     "registry_bar_counts": "SELECT 'm' || block AS market, CAST(sum(CASE WHEN panel_id % 2 = 0 AND (score IS NULL OR isnan(score)) THEN 0 ELSE 1 END) AS BIGINT) AS judged, count(CASE WHEN fwd_return IS NULL THEN 1 END) AS checks, count(CASE WHEN score > 1 THEN 1 END) AS kept FROM scored GROUP BY 1",
     "ledger_caps": f"WITH l AS (SELECT o_orderpriority AS step, sum(CAST(o_totalprice AS DOUBLE)) AS spent FROM orders GROUP BY 1), c AS (SELECT * FROM (VALUES {_VAL(_CAP)}) c(step, cap)) SELECT coalesce(l.step, c.step) AS step, {r('c.cap::DOUBLE', 2)} AS cap, {r('coalesce(l.spent, 0)::DOUBLE', 2)} AS spent FROM l FULL JOIN c ON l.step = c.step",
+    "size_observations": f"SELECT code AS entity_id, epoch_us(_available) AS available_at, 'universe' AS source, 'size_log' AS feature, {r('ln(mcap)', 6)} AS value, list_id AS seq FROM universe_lists WHERE code IS NOT NULL AND _available IS NOT NULL AND mcap > 0 AND mcap < 'Infinity'::DOUBLE AND NOT isnan(mcap)",
     "document_changes": "WITH t AS (SELECT doc_id, abs(log10(length(text) + 1) - log10(lag(length(text)) OVER (PARTITION BY entity_id ORDER BY available_at, doc_id) + 1)) < 0.5 AS s FROM documents WHERE text IS NOT NULL AND available_at IS NOT NULL) SELECT doc_id, coalesce(s, false) AS same_size FROM t",
 }
