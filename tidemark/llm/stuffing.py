@@ -66,14 +66,12 @@ def punctuated(text: Column) -> Column:
     """
 
     def proper(s: Column) -> Column:
-        last = F.right(s, F.lit(1))
-        unspaced = last.isin(*_FULL_STOPS)
-        words = F.filter(F.split(F.rtrim(s, F.lit(_STOPS + _FULL_STOPS)), " "), lambda w: w != "")
-        others = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
-        pairs = lambda w: F.zip_with(F.slice(w, 1, others(w)), F.slice(w, 2, others(w)), lambda a, b: F.xxhash64(a, b))
+        words = F.split(F.btrim(s, F.lit(" " + _STOPS + _FULL_STOPS)), " ")
+        pairs = lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))
         once = lambda w: _let(pairs(w), lambda p: F.size(F.array_distinct(p)) == F.size(p))
-        ended = (unspaced | last.isin(*_STOPS)) & F.length(s).between(SHORTEST, LONGEST)
-        return ended & _let(words, lambda w: (unspaced | (F.size(w) >= WORDS)) & once(w))
+        spaced = lambda last: last.isin(*_STOPS) & _let(words, lambda w: (F.size(w) >= WORDS) & once(w))
+        unspaced = lambda last: last.isin(*_FULL_STOPS) & _let(words, once)
+        return F.length(s).between(SHORTEST, LONGEST) & _let(F.substring(s, -1, 1), lambda last: spaced(last) | unspaced(last))
 
     def share(plain: Column) -> Column:
         in_sentences = F.aggregate(F.filter(F.split(plain, "\n"), proper), F.lit(0), lambda n, s: n + F.length(s))
@@ -82,7 +80,7 @@ def punctuated(text: Column) -> Column:
     plain = F.lower(text)
     for sign in _SIGNS:
         plain = F.replace(plain, F.lit(sign), F.lit(""))
-    for here, there in [("\r", "\n"), ("<", "\n<"), *[(f"{s} ", f"{s}\n") for s in _STOPS], *[(s, f"{s}\n") for s in _FULL_STOPS]]:
+    for here, there in [("  ", " "), ("\r", "\n"), ("<", "\n<"), *[(f"{s} ", f"{s}\n") for s in _STOPS], *[(s, f"{s}\n") for s in _FULL_STOPS]]:
         plain = F.replace(plain, F.lit(here), F.lit(there))
     return _let(plain, share)
 
