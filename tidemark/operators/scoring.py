@@ -144,24 +144,28 @@ def periodic_signal(enter: float, months: list[int], period: str) -> Column:
 
 
 def portfolio(g: DataFrame, signal: Column, period: str, name: str) -> DataFrame:
-    """period, n, gross, cost, net of an equal-weight book against the mean of all names present. (A4)
+    """period, n, gross, cost, net, turnover, closed, closed_periods of an equal-weight book against the mean of all names present. (A4)
 
     Half a round trip is paid on a buy and on a sale, over the size of the book; a sale pays the last known cost, else
-    the period's median. A held name without a return earns the universe's mean. Periods of an empty book are left out."""
+    the period's median. A held name without a return earns the universe's mean. turnover is half the trades over the size of the book;
+    closed are the names sold, closed_periods how long they had been held. Periods of an empty book are left out."""
     w = Window.partitionBy(name).orderBy("k")
     g = g.withColumn("sig", signal).withColumn("held", F.coalesce(F.last("sig", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     g = g.withColumns({"was": F.lag("held", 1, 0).over(w), "before": F.last("cost", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    bought, sold = (F.col("held") == 1) & (F.col("was") == 0), (F.col("held") == 0) & (F.col("was") == 1)
+    g = g.withColumn("since", F.last(F.when(bought, F.col("k")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     base = g.groupBy("k", period).agg(F.avg("ret").alias("mean"), F.median("cost").alias("med"), F.sum("held").alias("n"))
     g = g.join(base, ["k", period])
     size = F.greatest(F.col("n"), F.lit(1))
-    paid = F.when((F.col("held") == 1) & (F.col("was") == 0), F.coalesce("cost", "med")).when((F.col("held") == 0) & (F.col("was") == 1), F.coalesce("before", "med")).otherwise(0.0)
+    paid = F.when(bought, F.coalesce("cost", "med")).when(sold, F.coalesce("before", "med")).otherwise(0.0)
     out = g.where(F.col("n") > 0).groupBy("k", period, "n").agg(
-        F.sum(F.when(F.col("held") == 1, F.coalesce("ret", "mean") - F.col("mean")).otherwise(0.0) / size).alias("gross"), F.sum(0.5 * paid / size).alias("cost")
+        F.sum(F.when(F.col("held") == 1, F.coalesce("ret", "mean") - F.col("mean")).otherwise(0.0) / size).alias("gross"), F.sum(0.5 * paid / size).alias("cost"),
+        F.sum(F.when(bought | sold, 0.5 / size).otherwise(0.0)).alias("turnover"), F.count(F.when(sold, 1)).alias("closed"), F.coalesce(F.sum(F.when(sold, F.col("k") - F.col("since"))), F.lit(0)).alias("closed_periods"),
     )
-    return out.select(period, "n", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"))
+    return out.select(period, "n", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"), "turnover", "closed", "closed_periods")
 
 
-def book_summary(book: DataFrame) -> DataFrame:
-    """periods, mean, t and share of the gross that costs take."""
+def book_summary(book: DataFrame, periods_per_year: float = 12.0) -> DataFrame:
+    """periods, gross, mean (net), t, turnover a year, mean holding of closed positions, and share of the gross that costs take."""
     n, m, s = F.count("net"), F.avg("net"), F.stddev_samp("net")
-    return book.agg(n.alias("periods"), m.alias("mean"), F.when((n >= 3) & (s > 0), m / (F.nullif(s, F.lit(0.0)) / F.sqrt(n))).alias("t"), (F.sum("cost") / F.nullif(F.abs(F.sum("gross")), F.lit(0.0))).alias("lost"))
+    return book.agg(n.alias("periods"), F.avg("gross").alias("gross"), (F.lit(float(periods_per_year)) * F.avg("turnover")).alias("turnover"), (F.sum("closed_periods") / F.nullif(F.sum("closed"), F.lit(0))).alias("holding"), m.alias("mean"), F.when((n >= 3) & (s > 0), m / (F.nullif(s, F.lit(0.0)) / F.sqrt(n))).alias("t"), (F.sum("cost") / F.nullif(F.abs(F.sum("gross")), F.lit(0.0))).alias("lost"))

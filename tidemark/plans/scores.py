@@ -94,13 +94,15 @@ def _sql_book(signal: str) -> str:
           last_value(cost IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM h),
     j AS (SELECT *, lag(held, 1, 0) OVER (PARTITION BY entity_id ORDER BY k) AS was FROM i),
     m AS (SELECT k, avg(ret) AS mean, median(cost) AS med, sum(held) AS n FROM j GROUP BY 1),
-    b AS (SELECT j.decision_time, CAST(m.n AS BIGINT) AS n, sum(CASE WHEN held = 1 THEN coalesce(ret, mean) - mean ELSE 0 END) / greatest(m.n, 1) AS gross,
+    jj AS (SELECT *, last_value(CASE WHEN held = 1 AND was = 0 THEN k END IGNORE NULLS) OVER (PARTITION BY entity_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM j),
+    b AS (SELECT jj.decision_time, CAST(m.n AS BIGINT) AS n, sum(CASE WHEN held = 1 THEN coalesce(ret, mean) - mean ELSE 0 END) / greatest(m.n, 1) AS gross,
           sum(CASE WHEN held = 1 AND was = 0 THEN coalesce(cost, med) WHEN held = 0 AND was = 1 THEN coalesce(old, med) ELSE 0 END) * 0.5 / greatest(m.n, 1) AS cost
-          FROM j JOIN m USING (k) WHERE m.n > 0 GROUP BY 1, 2, m.n)"""
+          , sum(CASE WHEN held <> was THEN 0.5::DOUBLE ELSE 0 END) / greatest(m.n, 1) AS turnover, count(CASE WHEN held = 0 AND was = 1 THEN 1 END) AS closed, CAST(coalesce(sum(CASE WHEN held = 0 AND was = 1 THEN k - since END), 0) AS BIGINT) AS closed_periods
+          FROM jj JOIN m USING (k) WHERE m.n > 0 GROUP BY 1, 2, m.n)"""
 
 
 _BAND = "CASE WHEN pct > 0.9 THEN 1 WHEN pct IS NULL OR pct <= 0.7 THEN 0 END"
-_BOOK_OUT = f" SELECT {US}, n, {r('gross')} AS gross, {r('cost')} AS cost, {r('gross - cost')} AS net FROM b"
+_BOOK_OUT = f" SELECT {US}, n, {r('gross')} AS gross, {r('cost')} AS cost, {r('gross - cost')} AS net, {r('turnover')} AS turnover, closed, closed_periods FROM b"
 _UTCMONTH = "month(timezone('UTC', decision_time))"
 SQL = {
     "pct_rank_avg_ties": f"{W} SELECT panel_id, {r(sql_pct('score', 'decision_time, grp'))} AS pct FROM s",
@@ -147,5 +149,5 @@ SQL = {
     "topk_portfolio": _sql_book("CASE WHEN pct > 0.9 THEN 1 ELSE 0 END") + _BOOK_OUT,
     "periodic_portfolio": _sql_book(f"CASE WHEN {_UTCMONTH} IN (1, 4, 7, 10) THEN CASE WHEN coalesce(pct > 0.9, false) THEN 1 ELSE 0 END END") + _BOOK_OUT,
     "book_summary": _sql_book(_BAND)
-    + f""", z AS (SELECT gross, cost, gross - cost AS net FROM b) SELECT count(net) AS periods, {r("avg(net)")} AS mean, {r("CASE WHEN count(net) >= 3 AND stddev_samp(net) > 0 THEN avg(net) / (stddev_samp(net) / sqrt(count(net))) END")} AS t, {r("sum(cost) / nullif(abs(sum(gross)), 0)")} AS lost FROM z""",
+    + f""", z AS (SELECT gross, cost, gross - cost AS net, turnover, closed, closed_periods FROM b) SELECT count(net) AS periods, {r("avg(gross)")} AS gross, {r("12 * avg(turnover)")} AS turnover, {r("sum(closed_periods) / nullif(sum(closed), 0)")} AS holding, {r("avg(net)")} AS mean, {r("CASE WHEN count(net) >= 3 AND stddev_samp(net) > 0 THEN avg(net) / (stddev_samp(net) / sqrt(count(net))) END")} AS t, {r("sum(cost) / nullif(abs(sum(gross)), 0)")} AS lost FROM z""",
 }
