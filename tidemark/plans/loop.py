@@ -16,6 +16,8 @@ from tidemark.operators import grading as K
 from tidemark.operators import ranks as R
 from tidemark.operators import ridge as M
 from tidemark.operators import scoring as S
+from tidemark.operators import tracking as Q
+from tidemark.operators.reshape import level, monotone
 from tidemark.plans.governance import Registry
 
 T, E, G, Y = "decision_time", "entity_id", "grp", "fwd_return"
@@ -32,7 +34,8 @@ class ModelConfig:
 
 @dataclass(frozen=True)
 class LoopsConfig:
-    """(K18) Refits a finding must persist and a change rests, looks at a change, brakes, and the acceptance share."""
+    """(K18) Refits a finding must persist and a change rests, looks at a change, brakes, the acceptance share, and the
+    inputs that are answers on a scale (levels), which may be re-encoded."""
 
     persist: int = 3
     cooldown: int = 6
@@ -45,6 +48,7 @@ class LoopsConfig:
     screen: float = 1.0
     half_lives: tuple = (None, 12.0, 24.0)
     alphas: tuple = (1.0, 10.0, 100.0)
+    levels: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -100,11 +104,13 @@ class Coordinator:
     _rest: dict = field(default_factory=dict)
     _signs: dict = field(default_factory=dict)
     _last: tuple | None = None
+    _tried: set = field(default_factory=set)
+    _bent: dict = field(default_factory=dict)
 
     def grams(self) -> M.Grams:
         """One pass over the rows serves every configuration. (4.3-E)"""
         if "all" not in self._grams:
-            self._features = sorted({f for f in self.config.features} | {f for _, c in self.timeline for f in c.features})
+            self._features = sorted({f for f in self.config.features} | {f for _, c in self.timeline for f in c.features} | self._tried)
             d = R.centred_ranks(self.rows, self._features, T)
             self._grams["rows"] = d
             self._grams["all"] = M.grams(M.model_rows(d, Y, T, G), self._features, "target", T, "label_end")
@@ -210,13 +216,41 @@ class Coordinator:
             return self.judge(replace(self.config, features=tuple(x for x in self.config.features if x != f)), f"drop {f}", at)
         return False
 
+    def bent(self, at: datetime) -> list[str]:
+        """Scale answers whose residuals by level haven't been a line in so many refits running. (K3, K9)"""
+        mine = [f for f in self.settings.levels if f in self.config.features]
+        if not mine:
+            return []
+        s = self.scores(self.config, at).where(self.closed(at))
+        d = Q.tracking_frame(s, "score", Y, T, G, "label_end", F.lit(at))
+        raw = self.rows.select(E, T, *[level(f).alias(f"__level_{f}") for f in mine])
+        d = d.join(raw, [E, T])
+        for f in mine:
+            others = [x for x in self.config.features if x != f]
+            shapes = Q.calibration_table(Q.cleaned(d, others, T) if others else d.withColumn("clean", F.col("resid")), "clean", f"__level_{f}", T)
+            t = shapes.agg(F.max(F.abs("shape_t"))).first()[0]
+            self._bent[f] = self._bent.get(f, 0) + 1 if t is not None and t >= Q.SHAPE_T else 0
+        return [f for f in mine if self._bent[f] >= self.settings.persist and self._rest.get(f, self.settings.cooldown + 1) > self.settings.cooldown]
+
+    def reencode(self, bent: Sequence[str], at: datetime) -> bool:
+        """The first bent input gets a step for each level instead of a line, if that is accepted. (K9)"""
+        for f in bent:
+            steps = monotone(f)
+            self.rows = self.rows.withColumns({k: c for k, c in steps.items() if k not in self.rows.columns})
+            self._tried |= set(steps)
+            self._grams.clear()
+            self._bent[f] = 0
+            if self.judge(replace(self.config, features=(*[x for x in self.config.features if x != f], *steps)), f"steps of {f}", at):
+                return True
+        return False
+
     def cycle(self, at: datetime) -> None:
         """(K7)"""
         self.timeline.append((at, self.config))
         self.grams()
         accused = self.track(at)
         if not self.rollback_if_worse(at):
-            self.inner_step(accused, at) or self.outer_step(at)
+            self.reencode(self.bent(at), at) or self.inner_step(accused, at) or self.outer_step(at)
         self.timeline[-1] = (at, self.config)
 
     def config_at(self, t: datetime) -> ModelConfig:
