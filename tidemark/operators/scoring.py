@@ -118,14 +118,11 @@ def rank_weighted(df: DataFrame, score: str = "score", ret: str = "fwd_return",
     return out.withColumn("net", F.col("gross") - F.col("cost"))
 
 
-def grid(df: DataFrame, score: str, ret: str, cost: str, period: str, name: str) -> DataFrame:
-    """Every name in every period from its first on: k (period number), pct (null when absent), ret, cost."""
-    d = df.where(F.col(score).isNotNull()).select(period, name, F.col(ret).alias("ret"), F.col(cost).alias("cost"), pct_rank(score, [period]).alias("pct"))
-    turns = d.select(period).distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(period)))  # periods are few
-    d = d.join(turns, period).drop(period)
-    last = turns.agg(F.max("k").alias("last"))
-    span = d.groupBy(name).agg(F.min("k").alias("a")).join(F.broadcast(last)).select(name, F.explode(F.sequence("a", "last")).alias("k"))  # one row
-    return span.join(d, ["k", name], "left").join(turns, "k")
+def book_rows(df: DataFrame, score: str, ret: str, cost: str, period: str, name: str) -> DataFrame:
+    """period, name, score, pct, ret, cost of the rows that have a score and a period; one without a name is ranked, but has no values."""
+    d = df.where(F.col(score).isNotNull() & F.col(period).isNotNull()).select(period, name, F.col(score).alias("score"), F.col(ret).alias("ret"), F.col(cost).alias("cost"))
+    d = d.repartition(F.col(period)).withColumn("pct", pct_rank("score", [period]))
+    return d.select(period, name, "score", *[F.when(F.col(name).isNotNull(), F.col(c)).alias(c) for c in ("pct", "ret", "cost")])
 
 
 def band_signal(enter: float, leave: float) -> Column:
@@ -143,25 +140,61 @@ def periodic_signal(enter: float, months: list[int], period: str) -> Column:
     return F.when(F.month(period).isin(*months), F.when(F.coalesce(F.col("pct") > enter, F.lit(False)), 1).otherwise(0))
 
 
+def _turns(g: DataFrame, signal: Column, period: str, name: str) -> DataFrame:
+    """A row a period: k (its number), mean, med, and what absent names do after it: next (the first later period with a
+    signal for them, and that signal) and switches (every period in which that signal becomes another)."""
+    none = F.lit(None).cast("double")
+    t = g.groupBy(period).agg(F.avg("ret").alias("mean"), F.median("cost").alias("med"), sum(F.count(c) for c in (name, "score", "ret", "cost")).alias("seen"))
+    t = t.where(F.col("seen") >= 0)  # always so; it reads every column, so that this and the ranks read one exchange of the rows
+    all_ = Window.partitionBy(F.lit(0))  # periods are few
+    t = t.select(period, "mean", "med", F.row_number().over(all_.orderBy(period)).alias("k"))
+    away = F.when(F.col("sig").isNotNull(), F.struct("k", "sig"))
+    t = t.withColumns({"pct": none, "ret": none, "cost": none}).withColumn("sig", signal.cast("int"))
+    t = t.withColumns({"next": F.last(away, True).over(all_.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, -1)), "old": F.last("sig", True).over(all_.orderBy("k").rowsBetween(Window.unboundedPreceding, -1))})
+    return t.select(period, "k", "mean", "med", "next", F.collect_list(F.when(F.col("sig") != F.col("old"), away)).over(all_).alias("switches"))
+
+
 def portfolio(g: DataFrame, signal: Column, period: str, name: str) -> DataFrame:
-    """period, n, gross, cost, net, turnover, closed, closed_periods of an equal-weight book against the mean of all names present. (A4)
+    """period, n, gross, cost, net, turnover, closed, closed_periods of an equal-weight book over book_rows, against the mean of all names present. (A4)
 
     Half a round trip is paid on a buy and on a sale, over the size of the book; a sale pays the last known cost, else
     the period's median. A held name without a return earns the universe's mean. turnover is half the trades over the size of the book;
-    closed are the names sold, closed_periods how long they had been held. Periods of an empty book are left out."""
+    closed are the names sold, closed_periods how long they had been held. Periods of an empty book are left out.
+
+    A name counts from its first period on. The signal reads pct, ret and cost, null where the name is absent, and the
+    period. So all absent names have one signal a period, and a name's absence is carried as the periods in which that
+    signal may change what is held, not as a row a period."""
+    turns = _turns(g, signal, period, name)
+    d = g.join(F.broadcast(turns.select(period, "k", "mean", "next", "switches")), period).withColumn("sig", signal.cast("int"))
+    d = d.select(name, "k", "sig", F.when(F.coalesce(F.col("sig") != 0, F.lit(True)), F.col("ret") - F.col("mean")).alias("excess"), "cost", "next", "switches")
     w = Window.partitionBy(name).orderBy("k")
-    g = g.withColumn("sig", signal).withColumn("held", F.coalesce(F.last("sig", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    g = g.withColumns({"was": F.lag("held", 1, 0).over(w), "before": F.last("cost", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    upto = F.coalesce("until", F.lit(2**31 - 1))
+    d = d.withColumns({"until": F.lead("k").over(w), "first": F.row_number().over(w) == 1})
+    none = F.lit(None).cast("double")
+    here = F.struct("k", "sig", "excess", "cost", "first")
+    gone = F.when(F.col("next.k") < upto, F.concat(F.array("next"), F.filter("switches", lambda x: (x.k > F.col("next.k")) & (x.k < upto))))
+    gone = F.transform(F.coalesce(gone, F.array().cast("array<struct<k:int,sig:int>>")), lambda x: F.struct(x.k.alias("k"), x.sig.alias("sig"), none.alias("excess"), none.alias("cost"), F.lit(False).alias("first")))
+    d = d.select(name, F.explode(F.concat(F.array(here), gone)).alias("x")).select(name, "x.*")
+
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("held", F.coalesce(F.last("sig", True).over(past), F.lit(0)))
+    d = d.withColumns({"was": F.lag("held", 1, 0).over(w), "before": F.last("cost", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
     bought, sold = (F.col("held") == 1) & (F.col("was") == 0), (F.col("held") == 0) & (F.col("was") == 1)
-    g = g.withColumn("since", F.last(F.when(bought, F.col("k")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    base = g.groupBy("k", period).agg(F.avg("ret").alias("mean"), F.median("cost").alias("med"), F.sum("held").alias("n"))
-    g = g.join(base, ["k", period])
-    size = F.greatest(F.col("n"), F.lit(1))
-    paid = F.when(bought, F.coalesce("cost", "med")).when(sold, F.coalesce("before", "med")).otherwise(0.0)
-    out = g.where(F.col("n") > 0).groupBy("k", period, "n").agg(
-        F.sum(F.when(F.col("held") == 1, F.coalesce("ret", "mean") - F.col("mean")).otherwise(0.0) / size).alias("gross"), F.sum(0.5 * paid / size).alias("cost"),
-        F.sum(F.when(bought | sold, 0.5 / size).otherwise(0.0)).alias("turnover"), F.count(F.when(sold, 1)).alias("closed"), F.coalesce(F.sum(F.when(sold, F.col("k") - F.col("since"))), F.lit(0)).alias("closed_periods"),
+    d = d.withColumn("since", F.last(F.when(bought, F.col("k")), True).over(past))
+    paid = F.when(bought, F.col("cost")).when(sold, F.col("before"))
+    own = F.when(F.col("held") == 1, F.col("excess"))
+    per = d.groupBy("k").agg(
+        F.sum(F.col("held") - F.col("was")).alias("flow"), F.count(F.when(F.col("first"), 1)).alias("begun"), F.sum(own).alias("own"), F.count(own).alias("owns"), F.sum(paid).alias("paid"), F.count(paid).alias("pays"),
+        F.count(F.when(bought | sold, 1)).alias("trades"), F.count(F.when(sold, 1)).alias("closed"), F.coalesce(F.sum(F.when(sold, F.col("k") - F.col("since"))), F.lit(0)).alias("closed_periods"),
     )
+    so_far = Window.partitionBy(F.lit(0)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # periods are few
+    per = per.join(turns.select("k", period, "mean", "med"), "k").withColumns({"n": F.sum("flow").over(so_far), "names": F.sum("begun").over(so_far)}).where(F.col("n") > 0)
+    zero, guess = F.lit(0.0), F.col("trades") - F.col("pays")
+    # As sums over all names, absent ones too: null only if each of them gives null.
+    gross = F.when(F.col("mean").isNull(), F.when(F.col("n") < F.col("names"), zero)).otherwise(F.coalesce("own", zero) + F.when(F.col("n") > F.col("owns"), F.col("mean") - F.col("mean")).otherwise(zero))
+    cost = F.coalesce("paid", zero) + F.when((guess > 0) & F.col("med").isNotNull(), guess * F.col("med")).otherwise(zero)
+    cost = F.when(F.col("med").isNotNull() | (guess < F.col("names")), cost)
+    out = per.select(period, "n", (gross / F.col("n")).alias("gross"), (0.5 * cost / F.col("n")).alias("cost"), (0.5 * F.col("trades") / F.col("n")).alias("turnover"), "closed", "closed_periods")
     return out.select(period, "n", "gross", "cost", (F.col("gross") - F.col("cost")).alias("net"), "turnover", "closed", "closed_periods")
 
 

@@ -17,12 +17,12 @@ def _q(fn):
     return lambda spark, d: rounded(fn(scored_rows(spark, d)))
 
 
-def _grid(s):
-    return S.grid(s, "score", "fwd_return", "rt_cost", D, "entity_id")
+def _rows(s):
+    return S.book_rows(s, "score", "fwd_return", "rt_cost", D, "entity_id")
 
 
 def _book(signal):
-    return lambda s: S.portfolio(_grid(s), signal(), D, "entity_id").drop("k")  # columns need a session, so not at import
+    return lambda s: S.portfolio(_rows(s), signal(), D, "entity_id")  # columns need a session, so not at import
 
 
 def _bottom(s):
@@ -69,7 +69,7 @@ QUERIES = {
     "band_portfolio": _q(_book(lambda: S.band_signal(0.9, 0.7))),
     "topk_portfolio": _q(_book(lambda: S.top_signal(0.9))),
     "periodic_portfolio": _q(_book(lambda: S.periodic_signal(0.9, MONTHS, D))),
-    "book_summary": _q(lambda s: S.book_summary(S.portfolio(_grid(s), S.band_signal(0.9, 0.7), D, "entity_id"))),
+    "book_summary": _q(lambda s: S.book_summary(S.portfolio(_rows(s), S.band_signal(0.9, 0.7), D, "entity_id"))),
 }
 
 W = "WITH " + SCORED

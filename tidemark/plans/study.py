@@ -157,7 +157,7 @@ class Study:
         d = S.fill_costs(self._inside(d, stage))
         ic = S.period_t(S.rank_ic(d), "ic", self.overlap).first().asDict()
         spread = S.period_t(S.quantile_spreads(d, 0.1, 3), "net", self.overlap).first().asDict()
-        g = S.grid(d, "score", Y, "rt_cost", T, E)
+        g = S.book_rows(d, "score", Y, "rt_cost", T, E)
         books = {k: S.book_summary(S.portfolio(g, s, T, E)).first().asDict() for k, s in {"band": S.band_signal(0.9, 0.7), "top": S.top_signal(0.9)}.items()}
         return {"ic": ic, "spread": spread, "books": books}
 
