@@ -54,6 +54,29 @@ def change_points(events: DataFrame, keys: Sequence[str], at: str, weight: Colum
     return at_once.select(*keys, "at", F.sum("n").over(w).alias("n"), F.sum("total").over(w).alias("total"))
 
 
+def trailing(df: DataFrame, key: str, at: str, span: int, x: str, kind: str) -> DataFrame:
+    """df with n, total, gross, kinds: rows of the key in the span of ticks before each row, this instant not included; the
+    sums of their x and of its size, 0 without any; and how many kinds they have. Null keys are one key; at is not null. (R9)
+
+    Time is cut into cells as long as the span, so a row's span is the end of one cell and the beginning of the next.
+    A row stands in its own cell and, a span later, in the next one; there both parts are running totals, nothing is
+    subtracted, and a key of any size is as many tasks as it has cells."""
+    start = F.col(at) - F.pmod(F.col(at), F.lit(span))
+    places = [F.struct(start.alias("cell"), F.col(at).alias("pos"), F.lit(True).alias("own")), F.struct((start + span).alias("cell"), (F.col(at) + span).alias("pos"), F.lit(False).alias("own"))]
+    d = df.select("*", F.explode(F.array(*places)).alias("__p"))
+    rest = [F.when(F.col("__p.own"), F.col(c)).alias(c) for c in df.columns if c not in (key, x, kind)]
+    d = d.select(key, x, kind, *rest, F.col("__p.cell").alias("__cell"), F.col("__p.pos").alias("__pos"), F.col("__p.own").alias("__own"))
+    w = Window.partitionBy(key, "__cell")
+    begin = w.orderBy("__pos").rangeBetween(Window.unboundedPreceding, -1)
+    end = w.orderBy(F.col("__pos").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own, old = F.col("__own"), ~F.col("__own")
+    sums = {"n": F.lit(1), "total": F.col(x), "gross": F.abs(x)}
+    part = lambda rows, over, i: {f"__{k}{i}": F.sum(F.when(rows, c)).over(over) for k, c in sums.items()} | {f"__kinds{i}": F.collect_set(F.when(rows, F.col(kind))).over(over)}
+    d = d.withColumns(part(own, begin, 0)).withColumns(part(old, end, 1)).where(own)
+    both = [(F.coalesce(f"__{k}0", F.lit(0)) + F.coalesce(f"__{k}1", F.lit(0))).alias(k) for k in sums]
+    return d.select(*df.columns, *both, F.size(F.array_union("__kinds0", "__kinds1")).alias("kinds"))
+
+
 def _so_far(d: DataFrame, keys: Sequence[str], lag: int, i: int) -> DataFrame:
     """d with __n<i>, __s<i>: number and sum of the __x with the same keys whose __t, lag later, is still earlier.
 
