@@ -47,3 +47,7 @@ def _check(spark, folder, name):
 
 def test_band_without_absences(spark, tmp_path):
     _check(spark, str(tmp_path), "band_portfolio")
+
+
+def test_top_without_absences(spark, tmp_path):
+    _check(spark, str(tmp_path), "topk_portfolio")
