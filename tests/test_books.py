@@ -51,3 +51,7 @@ def test_band_without_absences(spark, tmp_path):
 
 def test_top_without_absences(spark, tmp_path):
     _check(spark, str(tmp_path), "topk_portfolio")
+
+
+def test_summary_without_absences(spark, tmp_path):
+    _check(spark, str(tmp_path), "book_summary")
