@@ -55,3 +55,7 @@ def test_top_without_absences(spark, tmp_path):
 
 def test_summary_without_absences(spark, tmp_path):
     _check(spark, str(tmp_path), "book_summary")
+
+
+def test_periodic_without_absences(spark, tmp_path):
+    _check(spark, str(tmp_path), "periodic_portfolio")
